@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, mixing, ngram_join, quality, queries, toxicity
-from keyloom.llm.shared import importable, stash
+from keyloom.llm.shared import stash
+from keyloom.session import importable
 
 #: The mixture takes three quarters of the tokens, a document at most twice.
 SHARE, EPOCHS, SEED = (3, 4), 2, 7
@@ -17,24 +18,28 @@ SHARE, EPOCHS, SEED = (3, 4), 2, 7
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts."""
+    importable(spark)
     model = quality.train(docs, queries.table(spark, sf_dir, "labels"))
     return quality.score(docs, model, "_score").where("_score >= 0.5").drop("_score")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity classifier doesn't reject."""
+    importable(spark)
     model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
     return toxicity.score(docs, model, "_score").where("_score < 0.5").drop("_score")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    importable(spark)
     return ngram_join.one_of_each(docs, 5, 80, 100)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture to target weights; a document taken in two epochs is there twice, and the last of
     a source's prefix is cut after its last word taken."""
+    importable(spark)
     columns = docs.columns
     levels = {k: c for k, c in queries.mix_levels().items()}
     taken = mixing.mix(docs, levels, queries.MIX_WEIGHTS, SHARE, EPOCHS, SEED)
@@ -45,6 +50,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids and n_tokens of every document."""
+    importable(spark)
     ids = bpe.tokenize(docs, queries.vocabulary(), ["doc_id", "lang", "source"], decoded=False)
     return ids.withColumn("n_tokens", F.size("ids").cast("long"))
 
