@@ -246,8 +246,8 @@ def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def _own_text(nodes: list[Node]) -> str:
-    return "\n".join(t for n in nodes for _, t in n.texts)
+def _own_text(node: Node) -> str:
+    return "\n".join(t for _, t in node.texts)
 
 
 def dropped(node: Node, in_article: bool) -> bool:
@@ -266,8 +266,7 @@ def extract(page: str, wrapper: list | None = None, numbers: dict | None = None,
         if shape not in memo:
             memo[shape] = aligned(wrapper, numbers, json.loads(shape))
         for slot, nodes in zip(memo[shape], slots_of([root])):
-            if any(n.texts for n in nodes) and (slot, _digest(_own_text(nodes))) in constant:
-                template.update(map(id, nodes))
+            template.update(id(n) for n in nodes if n.texts and (slot, _digest(_own_text(n))) in constant)
 
     def blocks(node, in_article):
         if dropped(node, in_article):
@@ -310,11 +309,11 @@ def induce(pages: DataFrame, salts: int = 16, share: float = 0.5, least: int = 3
                 for url, page in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
                     root, _ = parse(page or "")
                     shape = folded(root)
-                    texts = [_digest(x) if (x := _own_text(nodes)) else None for nodes in slots_of([root])]
+                    texts = [sorted({_digest(_own_text(n)) for n in nodes if n.texts}) for nodes in slots_of([root])]
                     rows.append({"host": host(url), "shape": shape, "texts": texts})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("shape", pa.string()), ("texts", pa.list_(pa.int64()))]))
+                yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("shape", pa.string()), ("texts", pa.list_(pa.list_(pa.int64())))]))
 
-    found = pages.select("url", "html").mapInArrow(digest, "host string, shape string, texts array<long>")
+    found = pages.select("url", "html").mapInArrow(digest, "host string, shape string, texts array<array<long>>")
     found = stash(found.distinct(), "shapes")  # equal pages count once
     shapes = found.groupBy("host", "shape").count()
 
@@ -346,8 +345,8 @@ def induce(pages: DataFrame, salts: int = 16, share: float = 0.5, least: int = 3
     slots = shapes.select("host", "shape").join(wrappers, "host").select("host", "shape", "wrapper")
     slots = slots.mapInArrow(places, "host string, shape string, slots array<int>")
     held = found.join(slots, ["host", "shape"]).select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x"))
-    held = held.select("host", "x.slots", "x.texts").where("texts is not null and slots >= 0")
-    counts = held.groupBy("host", "slots", "texts").count()
+    held = held.select("host", "x.slots", "x.texts").where("size(texts) > 0 and slots >= 0")
+    counts = held.withColumn("texts", F.explode("texts")).groupBy("host", "slots", "texts").count()
     pages_with = held.groupBy("host", "slots").agg(F.count("*").alias("n"))
     constant = counts.where(F.col("count") >= least).join(pages_with, ["host", "slots"]).where(F.col("count") >= share * F.col("n"))
     constant = constant.groupBy("host").agg(F.collect_list(F.struct(F.col("slots").alias("slot"), F.col("texts").alias("digest"))).alias("constant"))
