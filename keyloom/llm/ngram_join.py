@@ -9,9 +9,13 @@ For the others the overlap is accumulated over blocks of columns of the whole ro
 dropped as soon as the columns left cannot bring it to the bound.
 
 Rows of equal sets are one row of the matrix, so copies cost nothing. Within a large group of near
-copies not all pairs are formed: first rows are compared with a hub of each column, again with
-other hubs while that pays, and then only pairs of different components are formed. Only the cost
-depends on the hubs; every link between rows of different components is checked exactly.
+copies not all pairs are formed: each row is first compared with one hub, a row that shares its
+columns with many. If a row A has less in common with its hub H than any link of A needs, whatever
+links with A shares columns with it that H lacks; so pairs of rows compared with the same hub are
+found through the first of the columns that H lacks (again by the prefix bound), which in a group
+of near copies are few and rare. Other pairs are found through the first columns of the rows. Pairs
+already in one component are not formed. Only the cost depends on the hubs: every link between
+rows of different components is checked exactly.
 
 Rows are documents. Null or empty texts, and texts without words, have no n-grams, n_shingles 0
 and link with nothing. Rows with a null id take part in no link and get a null component_id.
@@ -20,13 +24,14 @@ Rows that repeat an id stay separate rows. Other columns are not looked at."""
 from __future__ import annotations
 
 import hashlib
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, text_chunks
+from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, sweep, text_chunks, unstash
 
 #: Columns (n-grams) are counted in 2 ** BITS cells; the counts only order the columns.
 BITS, CELLS_A_ROW = 20, 1 << 14
@@ -34,6 +39,8 @@ BITS, CELLS_A_ROW = 20, 1 << 14
 COLUMN_BLOCKS = 8
 #: Pairs compared at once in a task.
 PAIRS = 256
+#: Bits of the marks of documents whose rows are asked for.
+MARKS = 1 << 22
 
 
 def _sets(batch: pa.RecordBatch, k: int, keep=None):
@@ -64,13 +71,13 @@ def column_counts(docs: DataFrame, k: int) -> np.ndarray:
             [
                 pa.array(some.astype(np.int32)),
                 pa.array(np.full(len(some), salt, np.int32)),
-                pa.array([blocks[i].astype(np.int64).tobytes() for i in some], pa.binary()),
+                pa.array([zlib.compress(blocks[i].tobytes(), 1) for i in some], pa.binary()),
             ],
             ["block", "salt", "cells"],
         )
 
     def add(key, table):
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table.column("cells"))
+        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64) for x in table.column("cells"))
         return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
 
     parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "block int, salt int, cells binary")
@@ -153,41 +160,42 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray)
     return got
 
 
-def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of pairs (a, b: nodes) that link, by the exact overlap of their whole rows."""
+def _products(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None) -> DataFrame:
+    """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With counts, all
+    pairs: a, b, n (size of a), overlap and rest, the first columns of a that b lacks."""
     spark = docs.sparkSession
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    ids = stash(nodes.join(wanted, "node", "left_semi").select("node", "rep"), "wanted")
-    # A bitmap of fixed size skips the texts that are in no pair; the join below is exact.
-    bits = 1 << 22
-    marks = ids.select(F.pmod(F.xxhash64("rep"), F.lit(bits)).alias("bit")).distinct()
-    marks = marks.groupBy((F.col("bit") / 4096).cast("int").alias("part")).agg(
-        F.collect_set((F.col("bit") % 4096).cast("int")).alias("bits")
-    )
-    bitmap = np.zeros(bits, bool)
-    for row in marks.toLocalIterator():
-        bitmap[row["part"] * 4096 + np.array(row["bits"], np.int64)] = True
-    bitmap = spark.sparkContext.broadcast(np.packbits(bitmap))
+    named = nodes.select("id", F.col("node").alias("digest"), F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
+    sides = pairs.select(F.col("a").alias("id"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(2).alias("side")))
+    wanted = stash(named.join(sides.groupBy("id").agg(F.bit_or("side").alias("side")), "id"), "wanted")
+    # Bitmaps of fixed size skip the texts that are on neither side of a pair; the joins are exact.
+    marks = wanted.select("bit", "side").distinct().groupBy((F.col("bit") / 4096).cast("int").alias("part"))
+    bitmap = np.zeros(MARKS, np.uint8)
+    for row in marks.agg(F.collect_list(F.struct((F.col("bit") % 4096).alias("at"), "side")).alias("marks")).toLocalIterator():
+        for at, side in row["marks"]:
+            bitmap[row["part"] * 4096 + at] |= side
+    bitmap = spark.sparkContext.broadcast(bitmap)
+    order = spark.sparkContext.broadcast(counts) if counts is not None else None
 
     def sets(batches):
-        marked = np.unpackbits(bitmap.value).view(bool)
         for batch in batches:
-            bit = batch.column(batch.schema.get_field_index("bit")).to_numpy(zero_copy_only=False)
-            node, found, waiting = [], [], 0
-            for _, s in _sets(batch, k, marked[bit]):
-                node.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                found.append(s.tobytes())
+            side = bitmap.value[batch.column(batch.schema.get_field_index("bit")).to_numpy(zero_copy_only=False)]
+            found, waiting = [], 0
+            for i, s in _sets(batch, k, side > 0):
+                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), s.tobytes()))
                 waiting += len(s)
                 if waiting > CHUNK // 4:
-                    yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.binary())], ["node", "row"])
-                    node, found, waiting = [], [], 0
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(found, pa.binary())], ["node", "row"])
+                    yield table(found)
+                    found, waiting = [], 0
+            yield table(found)
+
+    def table(found):
+        node, side, row = zip(*found) if found else ((), (), ())
+        return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(side, pa.int32()), pa.array(row, pa.binary())], ["digest", "side", "row"])
 
     texts = docs.where("doc_id is not null").select(
-        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(bits)).alias("bit"), F.coalesce("text", F.lit("")).alias("text")
+        F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = texts.mapInArrow(sets, "node binary, row binary").join(ids.select("node"), "node", "left_semi")
-    rows = stash(rows.dropDuplicates(["node"]), "rows")
+    rows = stash(texts.mapInArrow(sets, "digest binary, side int, row binary"), "rows")
 
     def product(batches):
         for batch in batches:
@@ -199,12 +207,32 @@ def _checked(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: i
                 )
                 sizes = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)
                 need = -(-num * sizes // (num + den))
-                links = pa.array(overlaps(left, right, need) >= need)
-                yield part.select(["a", "b"]).filter(links)
-
-    both = pairs.join(rows.select(F.col("node").alias("a"), F.col("row").alias("row_a")), "a")
-    both = both.join(rows.select(F.col("node").alias("b"), F.col("row").alias("row_b")), "b")
-    return both.select("a", "b", "row_a", "row_b").mapInArrow(product, "a binary, b binary")
+                if order is None:
+                    yield part.select(["a", "b"]).filter(pa.array(overlaps(left, right, need) >= need))
+                    continue
+                got = overlaps(left, right, np.zeros_like(need))
+                rest = []
+                for x, y in zip(left, right):
+                    own = np.setdiff1d(x, y, assume_unique=True)
+                    cells = order.value[(own & np.uint64((1 << BITS) - 1)).astype(np.int64)]
+                    rest.append(own[np.argsort(cells, kind="stable")[: len(x) - -(-num * len(x) // den) + 1]].view(np.int64))
+                columns = [pa.array([len(x) for x in left], pa.int64()), pa.array(got), pa.array(got >= need), pa.array(rest, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).columns, *columns], ["a", "b", "n", "overlap", "links", "rest"])
+
+    # Rows are long: they always meet their pairs by a shuffle, whatever the sizes, each side's rows alone.
+    digest = wanted.select("id", "digest")
+    asked = pairs.join(digest.select(F.col("id").alias("a"), F.col("digest").alias("digest_a")), "a")
+    asked = asked.join(digest.select(F.col("id").alias("b"), F.col("digest").alias("digest_b")), "b")
+    left = rows.where("side & 1 = 1").select(F.col("digest").alias("digest_a"), F.col("row").alias("row_a"))
+    right = rows.where("side & 2 = 2").select(F.col("digest").alias("digest_b"), F.col("row").alias("row_b"))
+    both = asked.join(left.hint("merge"), "digest_a").select("a", "b", "digest_b", "row_a")
+    both = both.join(right.hint("merge"), "digest_b").select("a", "b", "row_a", "row_b")
+    more = "" if order is None else ", n long, overlap long, links boolean, rest array<long>"
+    out = stash(both.mapInArrow(product, f"a long, b long{more}"), "products")
+    unstash(rows)
+    unstash(wanted)
+    sweep(spark)
+    return out
 
 
 def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -212,38 +240,64 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     text): documents link if
     den * overlap >= num * union of their sets of k-word n-grams; component_id is the smallest
     doc_id that links reach."""
-    rows = stash(_rows(docs, k, num, den, column_counts(docs, k)), "docs")
+    counts = column_counts(docs, k)
+    rows = stash(_rows(docs, k, num, den, counts), "docs")
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    nodes = stash(nodes, "nodes")
-    entries = nodes.select("node", "n", F.posexplode("prefix").alias("i", "term"))
-    shared = entries.groupBy("term").count().where("count > 1").select("term")
-    entries = stash(entries.join(shared, "term", "left_semi"), "entries")
-
-    links, comp, size = [], nodes.select("node", F.col("node").alias("component")).limit(0), entries.count()
-    for turn in range(4):
-        owned = entries.join(comp, "node", "left").select(
-            "term", "node", "n", "i", F.coalesce("component", "node").alias("component")
-        )
-        mixed = owned.groupBy("term", "component").agg(F.count("*").alias("c")).groupBy("term").agg(
-            F.count("*").alias("parts"), F.expr("sum(c) * sum(c) - sum(c * c)").alias("pairs")
-        ).where("parts > 1")
-        owned = stash(owned.join(mixed.select("term", "pairs"), "term"), "owned")
-        spread = owned.groupBy("term").agg(F.first("pairs").alias("p")).agg(F.sum("p")).head()[0] or 0
-        if turn and (spread <= 8 * size or turn == 3):
-            break
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), "node", "n", "i", "component")).alias("hub")
-        hubs = owned.groupBy("term").agg(hub).select("term", "hub.node", "hub.n", "hub.i", "hub.component")
-        pairs = owned.alias("a").join(hubs.alias("b"), F.col("a.term") == F.col("b.term"))
-        links.append(_linked(docs, nodes, pairs, k, num, den))
-        comp = components(_all(links), "a", "b")
-    pairs = owned.alias("a").join(owned.alias("b"), F.col("a.term") == F.col("b.term"))
-    links.append(_linked(docs, nodes, pairs.where("a.node < b.node"), k, num, den))
-    comp = components(_all(links), "a", "b")
-
-    least = nodes.join(comp, "node").groupBy("component").agg(F.min("rep").alias("least"))
-    final = nodes.join(comp, "node", "left").join(least, "component", "left")
+    # Ids are fixed once the table is written; they are shorter than digests in what follows.
+    nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+    entries = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("i", "term"))
+    shared = entries.groupBy("term").agg((F.count("*") - 1).alias("others")).where("others > 0")
+    entries = stash(entries.join(shared, "term"), "entries")
+
+    sweep(docs.sparkSession)
+    # One hub for each row: of the rows that share one of its first columns, the one that shares most.
+    weight = entries.groupBy("node").agg(F.sum("others").alias("weight"))
+    ranked = entries.join(weight, "node")
+    hub = F.max(F.struct("weight", "node", "n", "i")).alias("hub")
+    hubs = ranked.groupBy("term").agg(hub).select("term", "hub.*")
+    near = ranked.alias("a").join(hubs.alias("b"), F.col("a.term") == F.col("b.term")).where(_fits(num, den))
+    near = near.where("struct(b.weight, b.node) > struct(a.weight, a.node)").groupBy(F.col("a.node").alias("a")).agg(
+        F.max(F.struct("b.weight", "b.node")).alias("hub")
+    )
+    near = stash(near.select("a", F.col("hub.node").alias("b")), "near")
+    compared = _products(docs, nodes, near, k, num, den, counts)
+    links = compared.where("links").select("a", "b")
+    comp = components(links, "a", "b")
+
+    under = compared.where(F.expr(f"links or overlap < cast(ceil({num} * n / {den}) as long)"))
+    place = under.select(F.col("a").alias("node"), F.col("b").alias("cluster"))
+    known = stash(
+        place.join(comp, "node", "full").select(
+            "node", F.coalesce("cluster", "node").alias("cluster"), F.coalesce("component", "node").alias("component")
+        ),
+        "known",
+    )
+    owned = entries.join(known, "node", "left").select(
+        "term", "node", "n", "i", F.coalesce("component", "node").alias("component"), F.coalesce("cluster", "node").alias("cluster")
+    )
+    split = owned.groupBy("term").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("term")
+    owned = stash(owned.join(split, "term", "left_semi"), "owned")
+    unlike = "a.component <> b.component and a.node < b.node"
+    first = owned.alias("a").join(owned.alias("b"), F.col("a.term") == F.col("b.term")).where(
+        f"{unlike} and a.cluster <> b.cluster and {_fits(num, den)}"
+    )
+    rest = under.select(F.col("a").alias("node"), "n", F.explode("rest").alias("term")).join(known, "node")
+    same = (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.term") == F.col("b.term"))
+    second = rest.alias("a").join(rest.alias("b"), same).where(
+        f"{unlike} and least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
+    )
+    pairs = first.select("a.node", F.col("b.node").alias("other")).unionByName(second.select("a.node", F.col("b.node").alias("other")))
+    pairs = stash(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
+    more = _products(docs, nodes, pairs, k, num, den, None)
+    comp = components(links.unionByName(more), "a", "b")
+    for done in (entries, owned, pairs, near):
+        unstash(done)
+
+    comp = comp.select(F.col("node").alias("id"), "component")
+    least = nodes.join(comp, "id").groupBy("component").agg(F.min("rep").alias("least"))
+    final = nodes.select("node", "id", "rep").join(comp, "id", "left").join(least, "component", "left")
     final = final.select("node", F.coalesce("least", "rep").alias("component_id"))
     out = rows.select("doc_id", "key", "n", "node").join(final, "node", "left")
     return out.select(
@@ -252,19 +306,6 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     )
 
 
-def _all(links: list[DataFrame]) -> DataFrame:
-    out = links[0]
-    for x in links[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-def _linked(docs, nodes, pairs, k, num, den) -> DataFrame:
-    pairs = pairs.where("a.component <> b.component").where(_fits(num, den))
-    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
-    return stash(_checked(docs, nodes, stash(pairs, "pairs"), k, num, den), "links")
-
-
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without all but one of each group of near copies: the one of the smallest
     id stays. Rows with null ids stay; of rows equal in id and text one stays."""

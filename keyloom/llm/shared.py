@@ -4,9 +4,8 @@ vectorised tokenising of Arrow text columns, two-level prefix sums and connected
 from __future__ import annotations
 
 import atexit
-import os
+import gc
 import uuid
-from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -17,16 +16,7 @@ from pyspark.sql import functions as F
 CHUNK = 1 << 20
 
 
-# ---------------------------------------------------------------- session and scratch tables
-
-
-def importable(spark: SparkSession) -> None:
-    """Lets Python workers that start from now on import this package from where the driver has it
-    (a path that machines of a cluster share; else ship the package with the job)."""
-    root = str(Path(__file__).resolve().parents[2])
-    paths = spark.sparkContext.environment.get("PYTHONPATH", "")
-    if root not in paths.split(os.pathsep):
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+# ---------------------------------------------------------------- scratch tables
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -57,7 +47,21 @@ def stash(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
     atexit.register(_delete, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._keyloom_path = path
+    return out
+
+
+def unstash(df: DataFrame) -> None:
+    """Deletes the files of a stashed table that nothing reads any more."""
+    _delete(df.sparkSession, df._keyloom_path)
+
+
+def sweep(spark: SparkSession) -> None:
+    """Lets Spark remove the shuffle files of finished steps now instead of after the JVM's next
+    collection, which a driver with little garbage may put off for half an hour."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
 
 
 def free_name(df: DataFrame, stem: str) -> str:
