@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.labelled import remainder, sample, unlabelled
 from keyloom.llm.quality import add_scores
-from keyloom.llm.shared import ALNUM, Words, text_chunks
+from keyloom.llm.shared import ALNUM, Words, stash, text_chunks, unstash
 
 TRAIN_ROWS = 4_000
 #: Unlabelled texts for each confirmed one that may be sampled.
@@ -63,6 +63,119 @@ class Toxic:
         return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
 
 
+def _distinct(texts: pa.Array, model: Toxic | None):
+    """(first row, row, feature) of each run: distinct hashes of each text, or those of a model as
+    their places in it."""
+    for first, _, data, offsets in text_chunks(texts):
+        row, h = present(data, offsets)
+        if model is not None:
+            row, h = model.found(row, h)
+        else:
+            order = np.lexsort((h, row))
+            row, h = row[order], h[order]
+            new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(row)]
+            row, h = row[new], h[new]
+        yield first, row, h
+
+
+def _counts(texts: DataFrame, model: Toxic | None) -> DataFrame:
+    """(feature, n): how many texts have each feature, counted in the tasks first."""
+
+    def run(batches):
+        for batch in batches:
+            kinds = [h for _, _, h in _distinct(batch.column(0), model)]
+            feature, n = np.unique(np.concatenate(kinds), return_counts=True) if kinds else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(feature.view(np.int64)), pa.array(n.astype(np.int64))], ["feature", "n"])
+
+    return texts.mapInArrow(run, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n"))
+
+
+def choose_features(p: DataFrame, u: DataFrame, n_p: int, n_u: int) -> np.ndarray:
+    """Sorted hashes of the features that P has more often than chance allows. Counts are made on the
+    executors; the driver gets features that enough confirmed texts have, a number that the bounded
+    sample bounds."""
+    often = _counts(p, None).where(F.col("n") >= SIGMAS).toArrow()
+    hashes = often["feature"].to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, in_p = hashes[order], often["n"].to_numpy()[order]
+    if not len(hashes):
+        return hashes
+    seen = _counts(u, Toxic(hashes, np.zeros(len(hashes)), 0.0)).toArrow()
+    in_u = np.zeros(len(hashes), np.int64)
+    in_u[seen["feature"].to_numpy()] = seen["n"].to_numpy()
+    usual = n_p * (in_u + 1) / n_u  # expected in P if P were like U
+    lift = in_p / usual
+    good = np.flatnonzero((in_p - usual >= SIGMAS * np.sqrt(usual + 1)) & (lift >= LIFT))
+    return hashes[np.sort(good[np.argsort(-in_p[good] * np.log(lift[good]), kind="stable")][:MOST_FEATURES])]
+
+
+def fit(p: list[list[int]], u: list[list[int]], hashes: np.ndarray, prior: float) -> Toxic:
+    """p, u: the features (places in hashes) that each text has."""
+    base = float(np.log(prior / (1 - prior)))
+    n_p, n_u = len(p), len(u)
+    if not n_p or not n_u or not len(hashes):
+        return Toxic(np.zeros(0, np.uint64), np.zeros(0), base)
+    row = np.repeat(np.arange(n_p + n_u), [len(x) for x in [*p, *u]])
+    column = np.array([c for x in [*p, *u] for c in x], np.int64)
+    is_p = np.arange(n_p + n_u) < n_p
+    w, b = np.zeros(len(hashes)), base
+    m, s = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
+    for t in range(1, STEPS + 1):
+        raw = b + np.bincount(row, w[column], len(is_p))
+        like = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+        loss_neg = np.logaddexp(0, raw)
+        unseen = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
+        plus = np.where(is_p, -prior * (1 - like) / n_p, 0)
+        minus = np.where(is_p, -prior * like / n_p, like / n_u)
+        slope = plus + minus if unseen >= 0 else -minus
+        grad = np.append(np.bincount(column, slope[row], len(w)) + DECAY * w / len(is_p), slope.sum())
+        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
+        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-10)
+        w -= step[:-1]
+        b -= step[-1]
+    return Toxic(hashes, w, float(b))
+
+
+def _lists(texts: DataFrame, hashes: np.ndarray) -> list[list[int]]:
+    model = Toxic(hashes, np.zeros(len(hashes)), 0.0)
+
+    def run(batches):
+        for batch in batches:
+            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
+            for first, row, feature in _distinct(batch.column(0), model):
+                for r, f in zip((row + first).tolist(), feature.tolist()):
+                    found[r].append(f)
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["x"])
+
+    return sorted(r["x"] for r in texts.mapInArrow(run, "x array<int>").toLocalIterator())
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS, prior: float | None = None
+) -> Toxic:
+    """Fits on at most `rows` toxic and U_FOR_P * `rows` unlabelled texts. Labels of the held-out
+    remainder are not read. Texts stay on the executors."""
+    if prior is None:
+        usable = labels.where((remainder(F.col("doc_id"), modulus) != held_out) & F.col("toxic").isin(0, 1))
+        n, toxic = usable.agg(F.count("*"), F.sum("toxic")).head()
+        prior = toxic / n if n and toxic else PRIOR
+    prior = float(min(max(prior, 0.001), 0.9))
+    p = stash(sample(docs, labels, "toxic", modulus, held_out, rows, (1,)).select("text"), "confirmed")
+    u = stash(unlabelled(docs, U_FOR_P * rows), "unlabelled")
+    n_p, n_u = p.count(), u.count()
+    hashes = choose_features(p, u, n_p, n_u) if n_p and n_u else np.zeros(0, np.uint64)
+    model = fit(_lists(p, hashes), _lists(u, hashes), hashes, prior)
+    unstash(p)
+    unstash(u)
+    return model
+
+
+def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        row, feature = self.found(*present(data, offsets))
+        raw = self.intercept + np.bincount(row, self.weights[feature], len(offsets) - 1)
+        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
+
+
 def fit(p_texts: list[str], u_texts: list[str], prior: float) -> Toxic:
     none = np.zeros(0, np.uint64)
     base = float(np.log(prior / (1 - prior)))
