@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.shared import stash
-from keyloom.llm.vectors import BLOCK, PACKED, QUERIES, best_of_block, matrix, pack, ranked, sample_matrix, unpacked, usable
+from keyloom.llm.vectors import BLOCK, PACKED, QUERIES, best_of_block, matrix, merged, pack, ranked, sample_matrix, unpacked, usable
 
 SAMPLE, HELD_OUT, NEIGHBOURS, HIDDEN = 6_000, 500, 20, 64
 #: Rows a part should hold, and the fewest and most parts.
@@ -157,12 +157,14 @@ def search(vectors: DataFrame, queries: DataFrame, dim: int, k: int = 20, recall
     asked = asked.select("cell", *[F.col(c).alias(f"q_{c}") for c in ("ids", "rows", "extra")])
 
     def rerank(batches):
+        yield from merged(opened(batches), k)
+
+    def opened(batches):
         for batch in batches:
             for row in batch.to_pylist():
                 ids, x, _ = unpacked(row, dim)
                 q_ids, q, _ = unpacked(row, dim, "q_")
-                a, b, score = best_of_block(q_ids, q, ids, x, k, np.full(len(q_ids), -np.inf))
-                yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(score)], ["query_id", "vec_id", "score"])
+                yield best_of_block(q_ids, q, ids, x, k, np.full(len(q_ids), -np.inf))
 
     found = blocks.select("cell", "ids", "rows", "extra").join(asked, "cell")
     return ranked(found.mapInArrow(rerank, "query_id long, vec_id long, score double"), k)

@@ -105,6 +105,37 @@ def best_of_block(query_ids, queries, ids, x, k: int, floor: np.ndarray):
     return query_ids[q[keep]], ids[c[keep]], score[keep]
 
 
+def merged(found, k: int, most: int = 200_000):
+    """Record batches of (query_id, vec_id, score) from such triples of arrays, reduced to the k best of
+    each query within the task, so that a query's blocks in one task give k rows and not k each."""
+    wait: list[tuple] = []
+
+    def reduced() -> tuple:
+        q, c, s = (np.concatenate(x) for x in zip(*wait))
+        order = np.lexsort((c, -s, q))
+        q, c, s = q[order], c[order], s[order]
+        first = np.flatnonzero(np.append(True, q[1:] != q[:-1]))
+        keep = np.arange(len(q)) - np.repeat(first, np.diff(np.append(first, len(q)))) < k
+        return q[keep], c[keep], s[keep]
+
+    def batch(t) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in t], ["query_id", "vec_id", "score"])
+
+    size = 0
+    for triple in found:
+        if len(triple[0]):
+            wait.append(triple)
+            size += len(triple[0])
+        if size > most:
+            wait = [reduced()]
+            size = len(wait[0][0])
+            if size > most // 2:  # many queries: their rows go on, later blocks add theirs
+                yield batch(wait[0])
+                wait, size = [], 0
+    if wait:
+        yield batch(reduced())
+
+
 def ranked(found: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score: the k best rows of each query."""
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
