@@ -170,71 +170,6 @@ def train(
     return model
 
 
-def score(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-        row, feature = self.found(*present(data, offsets))
-        raw = self.intercept + np.bincount(row, self.weights[feature], len(offsets) - 1)
-        return 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-
-
-def fit(p_texts: list[str], u_texts: list[str], prior: float) -> Toxic:
-    none = np.zeros(0, np.uint64)
-    base = float(np.log(prior / (1 - prior)))
-    if not p_texts or not u_texts:
-        return Toxic(none, np.zeros(0), base)
-    rows, hashes, n_p = [], [], len(p_texts)
-    for first, _, data, offsets in text_chunks(pa.array([*p_texts, *u_texts], pa.string())):
-        row, h = present(data, offsets)
-        order = np.lexsort((h, row))
-        row, h = row[order], h[order]
-        new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(row)]
-        rows.append((row[new] + first).astype(np.int32))
-        hashes.append(h[new])
-    row, h = np.concatenate(rows), np.concatenate(hashes)
-    kinds, column = np.unique(h, return_inverse=True)
-    in_p = np.bincount(column[row < n_p], minlength=len(kinds))
-    in_u = np.bincount(column[row >= n_p], minlength=len(kinds))
-    usual = n_p * (in_u + 1) / len(u_texts)  # expected in P if P were like U
-    lift = in_p / usual
-    good = np.flatnonzero((in_p - usual >= SIGMAS * np.sqrt(usual + 1)) & (lift >= LIFT))
-    good = np.sort(good[np.argsort(-in_p[good] * np.log(lift[good]), kind="stable")][:MOST_FEATURES])
-    place = np.full(len(kinds), -1)
-    place[good] = np.arange(len(good))
-    kept = place[column] >= 0
-    row, column = row[kept], place[column[kept]]
-    is_p = np.arange(n_p + len(u_texts)) < n_p
-    w, b = np.zeros(len(good)), base
-    m, s = np.zeros(len(good) + 1), np.zeros(len(good) + 1)
-    for t in range(1, STEPS + 1):
-        raw = b + np.bincount(row, w[column], len(is_p))
-        like = 1 / (1 + np.exp(-np.clip(raw, -30, 30)))
-        loss_neg = np.logaddexp(0, raw)
-        unseen = loss_neg[~is_p].mean() - prior * loss_neg[is_p].mean()
-        plus = np.where(is_p, -prior * (1 - like) / n_p, 0)
-        minus = np.where(is_p, -prior * like / n_p, like / len(u_texts))
-        slope = plus + minus if unseen >= 0 else -minus
-        grad = np.append(np.bincount(column, slope[row], len(w)) + DECAY * w / len(is_p), slope.sum())
-        m, s = 0.9 * m + 0.1 * grad, 0.999 * s + 0.001 * grad**2
-        step = RATE * (m / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.999**t)) + 1e-10)
-        w -= step[:-1]
-        b -= step[-1]
-    return Toxic(kinds[good], w, float(b))
-
-
-def train(
-    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS, prior: float | None = None
-) -> Toxic:
-    """Fits on at most `rows` toxic and U_FOR_P * `rows` unlabelled texts. Labels of the held-out remainder are
-    not read."""
-    if prior is None:
-        usable = labels.where((remainder(F.col("doc_id"), modulus) != held_out) & F.col("toxic").isin(0, 1))
-        n, toxic = usable.agg(F.count("*"), F.sum("toxic")).head()
-        prior = toxic / n if n and toxic else PRIOR
-    prior = float(min(max(prior, 0.001), 0.9))
-    p = sorted(r["text"] for r in sample(docs, labels, "toxic", modulus, held_out, rows, (1,)).toLocalIterator())
-    u = sorted(r["text"] for r in unlabelled(docs, U_FOR_P * rows).toLocalIterator())
-    return fit(p, u, prior)
-
-
 def score(docs: DataFrame, model: Toxic, out: str = "score") -> DataFrame:
     """All columns of docs and out."""
     return add_scores(docs, model.score, out)
