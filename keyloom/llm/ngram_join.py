@@ -6,7 +6,8 @@ share a column among the first n - ceil(threshold * n) + 1 of each; so the produ
 the matrix, by blocks of columns (partitions of the shuffle), has all pairs that can link. Pairs
 whose sizes, or whose numbers of columns left, cannot give the needed overlap are discarded there.
 For the others the overlap is accumulated over blocks of columns of the whole rows, and a pair is
-dropped as soon as the columns left cannot bring it to the bound.
+dropped as soon as the columns left cannot bring it to the bound. Pairs that are likely not to link
+meet by their first block alone before their whole rows do.
 
 Rows of equal sets are one row of the matrix, so copies cost nothing. Within a large group of near
 copies not all pairs are formed: each row is first compared with one hub, a row that shares its
@@ -37,6 +38,8 @@ from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, sweep,
 BITS, CELLS_A_ROW = 20, 1 << 14
 #: Blocks of columns in which overlaps are accumulated.
 COLUMN_BLOCKS = 8
+#: Blocks of columns that pairs are compared by before whole rows meet.
+FIRST_BLOCKS = 1
 #: Pairs compared at once in a task.
 PAIRS = 256
 #: Bits of the marks of documents whose rows are asked for.
@@ -46,13 +49,13 @@ MARKS = 1 << 22
 def _sets(batch: pa.RecordBatch, k: int, keep=None):
     """(row, sorted distinct n-gram hashes) of each row, or of the rows for which keep holds."""
     texts = batch.column(batch.schema.get_field_index("text"))
+    at = np.arange(len(texts)) if keep is None else np.flatnonzero(keep)
+    if keep is not None:
+        texts = texts.filter(pa.array(keep))
     for first, last, data, offsets in text_chunks(texts):
-        if keep is not None and not keep[first:last].any():
-            continue
         hashes, bounds = shingles(Words(data, offsets), k)
         for i in range(last - first):
-            if keep is None or keep[first + i]:
-                yield first + i, np.unique(hashes[bounds[i] : bounds[i + 1]])
+            yield int(at[first + i]), np.unique(hashes[bounds[i] : bounds[i + 1]])
 
 
 def column_counts(docs: DataFrame, k: int) -> np.ndarray:
@@ -160,8 +163,12 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray)
     return got
 
 
-def _products(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None) -> DataFrame:
-    """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With counts, all
+def _products(
+    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None, blocks: int = COLUMN_BLOCKS
+) -> DataFrame:
+    """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With fewer than
+    COLUMN_BLOCKS blocks, the pairs that may link: rows hold the columns of the first blocks alone, and the
+    columns left out count as shared as far as sizes allow. With counts (whole rows only), all
     pairs: a, b, n (size of a), overlap and rest, the first columns of a that b lacks."""
     spark = docs.sparkSession
     named = nodes.select("id", F.col("node").alias("digest"), F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
@@ -181,21 +188,23 @@ def _products(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num:
             side = bitmap.value[batch.column(batch.schema.get_field_index("bit")).to_numpy(zero_copy_only=False)]
             found, waiting = [], 0
             for i, s in _sets(batch, k, side > 0):
-                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), s.tobytes()))
-                waiting += len(s)
+                part = s if blocks == COLUMN_BLOCKS else s[: np.searchsorted(s, np.uint64((blocks << 64) // COLUMN_BLOCKS))]
+                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), len(s), part.tobytes()))
+                waiting += len(part)
                 if waiting > CHUNK // 4:
                     yield table(found)
                     found, waiting = [], 0
             yield table(found)
 
     def table(found):
-        node, side, row = zip(*found) if found else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(node, pa.binary()), pa.array(side, pa.int32()), pa.array(row, pa.binary())], ["digest", "side", "row"])
+        node, side, size, row = zip(*found) if found else ((), (), (), ())
+        columns = [pa.array(node, pa.binary()), pa.array(side, pa.int32()), pa.array(size, pa.int64()), pa.array(row, pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, ["digest", "side", "size", "row"])
 
     texts = docs.where("doc_id is not null").select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = stash(texts.mapInArrow(sets, "digest binary, side int, row binary"), "rows")
+    rows = stash(texts.mapInArrow(sets, "digest binary, side int, size long, row binary"), "rows")
 
     def product(batches):
         for batch in batches:
@@ -205,9 +214,11 @@ def _products(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num:
                     [np.frombuffer(x.as_py(), np.uint64) for x in part.column(part.schema.get_field_index(c))]
                     for c in ("row_a", "row_b")
                 )
-                sizes = np.array([len(x) + len(y) for x, y in zip(left, right)], np.int64)
-                need = -(-num * sizes // (num + den))
+                size_l, size_r = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+                need = -(-num * (size_l + size_r) // (num + den))
                 if order is None:
+                    held_l, held_r = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+                    need = need - np.minimum(size_l - held_l, size_r - held_r)
                     yield part.select(["a", "b"]).filter(pa.array(overlaps(left, right, need) >= need))
                     continue
                 got = overlaps(left, right, np.zeros_like(need))
@@ -223,10 +234,10 @@ def _products(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num:
     digest = wanted.select("id", "digest")
     asked = pairs.join(digest.select(F.col("id").alias("a"), F.col("digest").alias("digest_a")), "a")
     asked = asked.join(digest.select(F.col("id").alias("b"), F.col("digest").alias("digest_b")), "b")
-    left = rows.where("side & 1 = 1").select(F.col("digest").alias("digest_a"), F.col("row").alias("row_a"))
-    right = rows.where("side & 2 = 2").select(F.col("digest").alias("digest_b"), F.col("row").alias("row_b"))
-    both = asked.join(left.hint("merge"), "digest_a").select("a", "b", "digest_b", "row_a")
-    both = both.join(right.hint("merge"), "digest_b").select("a", "b", "row_a", "row_b")
+    left = rows.where("side & 1 = 1").select(F.col("digest").alias("digest_a"), F.col("size").alias("size_a"), F.col("row").alias("row_a"))
+    right = rows.where("side & 2 = 2").select(F.col("digest").alias("digest_b"), F.col("size").alias("size_b"), F.col("row").alias("row_b"))
+    both = asked.join(left.hint("merge"), "digest_a").select("a", "b", "digest_b", "size_a", "row_a")
+    both = both.join(right.hint("merge"), "digest_b").select("a", "b", "size_a", "size_b", "row_a", "row_b")
     more = "" if order is None else ", n long, overlap long, links boolean, rest array<long>"
     out = stash(both.mapInArrow(product, f"a long, b long{more}"), "products")
     unstash(rows)
@@ -290,7 +301,9 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     )
     pairs = first.select("a.node", F.col("b.node").alias("other")).unionByName(second.select("a.node", F.col("b.node").alias("other")))
     pairs = stash(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    more = _products(docs, nodes, pairs, k, num, den, None)
+    # Most of these pairs only share a passage: a block of columns tells, and whole rows meet for the others.
+    likely = _products(docs, nodes, pairs, k, num, den, None, FIRST_BLOCKS)
+    more = _products(docs, nodes, likely, k, num, den, None)
     comp = components(links.unionByName(more), "a", "b")
     for done in (entries, owned, pairs, near):
         unstash(done)
