@@ -6,8 +6,7 @@ share a column among the first n - ceil(threshold * n) + 1 of each; so the produ
 the matrix, by blocks of columns (partitions of the shuffle), has all pairs that can link. Pairs
 whose sizes, or whose numbers of columns left, cannot give the needed overlap are discarded there.
 For the others the overlap is accumulated over blocks of columns of the whole rows, and a pair is
-dropped as soon as the columns left cannot bring it to the bound. Pairs that are likely not to link
-meet by their first block alone before their whole rows do.
+dropped as soon as the columns left cannot bring it to the bound.
 
 Rows of equal sets are one row of the matrix, so copies cost nothing. Within a large group of near
 copies not all pairs are formed: each row is first compared with one hub, a row that shares its
@@ -38,8 +37,6 @@ from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, sweep,
 BITS, CELLS_A_ROW = 20, 1 << 14
 #: Blocks of columns in which overlaps are accumulated.
 COLUMN_BLOCKS = 8
-#: Blocks of columns that pairs are compared by before whole rows meet.
-FIRST_BLOCKS = 1
 #: Pairs compared at once in a task.
 PAIRS = 256
 #: Bits of the marks of documents whose rows are asked for.
@@ -164,12 +161,11 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray)
 
 
 def _products(
-    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None, blocks: int = COLUMN_BLOCKS
+    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None
 ) -> DataFrame:
-    """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With fewer than
-    COLUMN_BLOCKS blocks, the pairs that may link: rows hold the columns of the first blocks alone, and the
-    columns left out count as shared as far as sizes allow. With counts (whole rows only), all
-    pairs: a, b, n (size of a), overlap and rest, the first columns of a that b lacks."""
+    """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With counts, all
+    pairs: a, b, n (size of a), overlap and rest, the first columns of a that b lacks. A row travels
+    as its compressed text, which is a quarter of its hashes, and is made again where pairs meet."""
     spark = docs.sparkSession
     named = nodes.select("id", F.col("node").alias("digest"), F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
     sides = pairs.select(F.col("a").alias("id"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(2).alias("side")))
@@ -186,12 +182,13 @@ def _products(
     def sets(batches):
         for batch in batches:
             side = bitmap.value[batch.column(batch.schema.get_field_index("bit")).to_numpy(zero_copy_only=False)]
+            whole = batch.column(batch.schema.get_field_index("text"))
             found, waiting = [], 0
             for i, s in _sets(batch, k, side > 0):
-                part = s if blocks == COLUMN_BLOCKS else s[: np.searchsorted(s, np.uint64((blocks << 64) // COLUMN_BLOCKS))]
-                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), len(s), part.tobytes()))
-                waiting += len(part)
-                if waiting > CHUNK // 4:
+                text = whole[i].as_buffer()
+                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), text.size, zlib.compress(text)))
+                waiting += len(found[-1][3])
+                if waiting > CHUNK:
                     yield table(found)
                     found, waiting = [], 0
             yield table(found)
@@ -208,17 +205,17 @@ def _products(
 
     def product(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, PAIRS):
-                part = batch.slice(at, PAIRS)
-                left, right = (
-                    [np.frombuffer(x.as_py(), np.uint64) for x in part.column(part.schema.get_field_index(c))]
-                    for c in ("row_a", "row_b")
-                )
-                size_l, size_r = (part.column(part.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
-                need = -(-num * (size_l + size_r) // (num + den))
+            size_l, size_r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
+            for at, length in runs(size_l + size_r):
+                part = batch.slice(at, length)
+                packed = [part.column(part.schema.get_field_index(c)).to_pylist() for c in ("row_a", "row_b")]
+                once = list(dict.fromkeys([*packed[0], *packed[1]]))
+                texts = pa.record_batch([pa.array([zlib.decompress(x) for x in once], pa.binary())], ["text"])
+                of = dict(zip(once, (s for _, s in _sets(texts, k))))
+                left, right = ([of[x] for x in side] for side in packed)
+                n_l, n_r = (np.array([len(x) for x in side], np.int64) for side in (left, right))
+                need = -(-num * (n_l + n_r) // (num + den))
                 if order is None:
-                    held_l, held_r = (np.array([len(x) for x in side], np.int64) for side in (left, right))
-                    need = need - np.minimum(size_l - held_l, size_r - held_r)
                     yield part.select(["a", "b"]).filter(pa.array(overlaps(left, right, need) >= need))
                     continue
                 got = overlaps(left, right, np.zeros_like(need))
@@ -227,9 +224,19 @@ def _products(
                     own = np.setdiff1d(x, y, assume_unique=True)
                     cells = order.value[(own & np.uint64((1 << BITS) - 1)).astype(np.int64)]
                     rest.append(own[np.argsort(cells, kind="stable")[: len(x) - -(-num * len(x) // den) + 1]].view(np.int64))
-                columns = [pa.array([len(x) for x in left], pa.int64()), pa.array(got), pa.array(got >= need), pa.array(rest, pa.list_(pa.int64()))]
+                columns = [pa.array(n_l), pa.array(got), pa.array(got >= need), pa.array(rest, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).columns, *columns], ["a", "b", "n", "overlap", "links", "rest"])
 
+    def runs(sizes):
+        """(first, length) of runs of at most PAIRS pairs and about CHUNK bytes of text, one pair at least."""
+        first = 0
+        ends = np.cumsum(sizes)
+        while first < len(sizes):
+            most = (ends[first - 1] if first else 0) + CHUNK
+            last = min(max(first + 1, int(np.searchsorted(ends, most, "right"))), first + PAIRS)
+            yield first, last - first
+            first = last
+
     # Rows are long: they always meet their pairs by a shuffle, whatever the sizes, each side's rows alone.
     digest = wanted.select("id", "digest")
     asked = pairs.join(digest.select(F.col("id").alias("a"), F.col("digest").alias("digest_a")), "a")
@@ -301,9 +308,7 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     )
     pairs = first.select("a.node", F.col("b.node").alias("other")).unionByName(second.select("a.node", F.col("b.node").alias("other")))
     pairs = stash(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    # Most of these pairs only share a passage: a block of columns tells, and whole rows meet for the others.
-    likely = _products(docs, nodes, pairs, k, num, den, None, FIRST_BLOCKS)
-    more = _products(docs, nodes, likely, k, num, den, None)
+    more = _products(docs, nodes, pairs, k, num, den, None)
     comp = components(links.unionByName(more), "a", "b")
     for done in (entries, owned, pairs, near):
         unstash(done)
