@@ -267,15 +267,16 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("i", "term"))
     shared = entries.groupBy("term").agg((F.count("*") - 1).alias("others")).where("others > 0")
-    entries = stash(entries.join(shared, "term"), "entries")
+    # Tables of entries always meet by a shuffle, so the plan is the same at every size.
+    entries = stash(entries.join(shared.hint("merge"), "term"), "entries")
 
     sweep(docs.sparkSession)
     # One hub for each row: of the rows that share one of its first columns, the one that shares most.
     weight = entries.groupBy("node").agg(F.sum("others").alias("weight"))
-    ranked = entries.join(weight, "node")
+    ranked = entries.join(weight.hint("merge"), "node")
     hub = F.max(F.struct("weight", "node", "n", "i")).alias("hub")
     hubs = ranked.groupBy("term").agg(hub).select("term", "hub.*")
-    near = ranked.alias("a").join(hubs.alias("b"), F.col("a.term") == F.col("b.term")).where(_fits(num, den))
+    near = ranked.alias("a").join(hubs.hint("merge").alias("b"), F.col("a.term") == F.col("b.term")).where(_fits(num, den))
     near = near.where("struct(b.weight, b.node) > struct(a.weight, a.node)").groupBy(F.col("a.node").alias("a")).agg(
         F.max(F.struct("b.weight", "b.node")).alias("hub")
     )
@@ -292,18 +293,18 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
         ),
         "known",
     )
-    owned = entries.join(known, "node", "left").select(
+    owned = entries.join(known.hint("merge"), "node", "left").select(
         "term", "node", "n", "i", F.coalesce("component", "node").alias("component"), F.coalesce("cluster", "node").alias("cluster")
     )
     split = owned.groupBy("term").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("term")
-    owned = stash(owned.join(split, "term", "left_semi"), "owned")
+    owned = stash(owned.join(split.hint("merge"), "term", "left_semi"), "owned")
     unlike = "a.component <> b.component and a.node < b.node"
-    first = owned.alias("a").join(owned.alias("b"), F.col("a.term") == F.col("b.term")).where(
+    first = owned.alias("a").join(owned.hint("merge").alias("b"), F.col("a.term") == F.col("b.term")).where(
         f"{unlike} and a.cluster <> b.cluster and {_fits(num, den)}"
     )
     rest = under.select(F.col("a").alias("node"), "n", F.explode("rest").alias("term")).join(known, "node")
     same = (F.col("a.cluster") == F.col("b.cluster")) & (F.col("a.term") == F.col("b.term"))
-    second = rest.alias("a").join(rest.alias("b"), same).where(
+    second = rest.alias("a").join(rest.hint("merge").alias("b"), same).where(
         f"{unlike} and least(a.n, b.n) * {den} >= greatest(a.n, b.n) * {num}"
     )
     pairs = first.select("a.node", F.col("b.node").alias("other")).unionByName(second.select("a.node", F.col("b.node").alias("other")))
