@@ -28,7 +28,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, sweep, text_chunks, unstash
@@ -268,15 +268,14 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     entries = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("i", "term"))
     shared = entries.groupBy("term").agg((F.count("*") - 1).alias("others")).where("others > 0")
     # Tables of entries always meet by a shuffle, so the plan is the same at every size.
-    entries = stash(entries.join(shared.hint("merge"), "term"), "entries")
+    entries = entries.join(shared.hint("merge"), "term")
+    entries = stash(entries.withColumn("weight", F.sum("others").over(Window.partitionBy("node"))).drop("others"), "entries")
 
     sweep(docs.sparkSession)
     # One hub for each row: of the rows that share one of its first columns, the one that shares most.
-    weight = entries.groupBy("node").agg(F.sum("others").alias("weight"))
-    ranked = entries.join(weight.hint("merge"), "node")
     hub = F.max(F.struct("weight", "node", "n", "i")).alias("hub")
-    hubs = ranked.groupBy("term").agg(hub).select("term", "hub.*")
-    near = ranked.alias("a").join(hubs.hint("merge").alias("b"), F.col("a.term") == F.col("b.term")).where(_fits(num, den))
+    hubs = entries.groupBy("term").agg(hub).select("term", "hub.*")
+    near = entries.alias("a").join(hubs.hint("merge").alias("b"), F.col("a.term") == F.col("b.term")).where(_fits(num, den))
     near = near.where("struct(b.weight, b.node) > struct(a.weight, a.node)").groupBy(F.col("a.node").alias("a")).agg(
         F.max(F.struct("b.weight", "b.node")).alias("hub")
     )
