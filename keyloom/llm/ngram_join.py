@@ -6,7 +6,8 @@ share a column among the first n - ceil(threshold * n) + 1 of each; so the produ
 the matrix, by blocks of columns (partitions of the shuffle), has all pairs that can link. Pairs
 whose sizes, or whose numbers of columns left, cannot give the needed overlap are discarded there.
 For the others the overlap is accumulated over blocks of columns of the whole rows, and a pair is
-dropped as soon as the columns left cannot bring it to the bound.
+dropped as soon as the columns left cannot bring it to the bound. Before whole rows meet, the
+parities of their numbers of columns in cells give an upper bound of the overlap.
 
 Rows of equal sets are one row of the matrix, so copies cost nothing. Within a large group of near
 copies not all pairs are formed: each row is first compared with one hub, a row that shares its
@@ -160,12 +161,29 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray], need: np.ndarray)
     return got
 
 
+def parities(row: np.ndarray) -> bytes:
+    """Whether the number of the row's columns in each of m cells is odd, m bits; m is a power of two,
+    the row's size or more."""
+    m = max(64, 1 << int(len(row) - 1).bit_length()) if len(row) else 64
+    return np.packbits(np.bincount((row & np.uint64(m - 1)).astype(np.int64), minlength=m).astype(np.uint8) & 1).tobytes()
+
+
+def odd_columns(left: bytes, right: bytes) -> int:
+    """A lower bound of the number of columns that one of two rows has and the other hasn't: a cell
+    whose parities differ holds one at least. The finer parities are folded to the other's cells."""
+    a, b = (np.frombuffer(x, np.uint8) for x in sorted((left, right), key=len))
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.unpackbits(a ^ b).sum())
+
+
 def _products(
-    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None
+    docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None, by_parity: bool = False
 ) -> DataFrame:
     """The pairs (a, b: ids of nodes) that link, by the exact overlap of their whole rows. With counts, all
     pairs: a, b, n (size of a), overlap and rest, the first columns of a that b lacks. A row travels
-    as its compressed text, which is a quarter of its hashes, and is made again where pairs meet."""
+    as its compressed text, which is a quarter of its hashes, and is made again where pairs meet.
+    With by_parity, the pairs that may link as far as the parities of their rows tell."""
     spark = docs.sparkSession
     named = nodes.select("id", F.col("node").alias("digest"), F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
     sides = pairs.select(F.col("a").alias("id"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(2).alias("side")))
@@ -185,8 +203,9 @@ def _products(
             whole = batch.column(batch.schema.get_field_index("text"))
             found, waiting = [], 0
             for i, s in _sets(batch, k, side > 0):
+                node = hashlib.blake2b(s.tobytes(), digest_size=16).digest()
                 text = whole[i].as_buffer()
-                found.append((hashlib.blake2b(s.tobytes(), digest_size=16).digest(), int(side[i]), text.size, zlib.compress(text)))
+                found.append((node, int(side[i]), len(s), parities(s)) if by_parity else (node, int(side[i]), text.size, zlib.compress(text)))
                 waiting += len(found[-1][3])
                 if waiting > CHUNK:
                     yield table(found)
@@ -205,6 +224,12 @@ def _products(
 
     def product(batches):
         for batch in batches:
+            if by_parity:
+                columns = [batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("size_a", "size_b", "row_a", "row_b")]
+                most = (n + m - 2 * -(-num * (n + m) // (num + den)) for n, m in zip(*columns[:2]))
+                keep = [odd_columns(x, y) <= d for x, y, d in zip(*columns[2:], most)]
+                yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                continue
             size_l, size_r = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in ("size_a", "size_b"))
             for at, length in runs(size_l + size_r):
                 part = batch.slice(at, length)
@@ -308,7 +333,9 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     )
     pairs = first.select("a.node", F.col("b.node").alias("other")).unionByName(second.select("a.node", F.col("b.node").alias("other")))
     pairs = stash(pairs.select(F.col("node").alias("a"), F.col("other").alias("b")).distinct(), "pairs")
-    more = _products(docs, nodes, pairs, k, num, den, None)
+    # Most of these pairs only share a part: parities tell, and whole rows meet for the others.
+    likely = _products(docs, nodes, pairs, k, num, den, None, True)
+    more = _products(docs, nodes, likely, k, num, den, None)
     comp = components(links.unionByName(more), "a", "b")
     for done in (entries, owned, pairs, near):
         unstash(done)

@@ -70,6 +70,17 @@ def test_ngram_join_is_exact(spark, k, num, den):
     assert ngram_join.near_copies(extra, k, num, den).count() == len(odd)
 
 
+def test_parities_bound_the_difference():
+    rng = np.random.default_rng(1)
+    for n in (0, 1, 63, 64, 65, 700):
+        pool = np.unique(rng.integers(0, 1 << 63, 2 * n + 2, dtype=np.uint64))
+        for m in (0, n // 2, n, n + 1):
+            x, y = (np.sort(rng.choice(pool, size, replace=False)) for size in (n, m))
+            found = ngram_join.odd_columns(ngram_join.parities(x), ngram_join.parities(y))
+            assert found <= len(np.setxor1d(x, y))
+        assert ngram_join.odd_columns(ngram_join.parities(x), ngram_join.parities(x)) == 0
+
+
 def test_one_of_each_and_empty(spark):
     rows, extra = odd_docs(spark)
     kept = sorted((r["doc_id"] or 0) for r in ngram_join.one_of_each(extra).collect())
