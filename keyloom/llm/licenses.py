@@ -6,6 +6,11 @@ matching block holds one of the first |T| - need + 1 of them (prefix filter), ha
 words (length filter), and from the place of its first prefix word on, enough words are left
 (positional filter). What remains is counted exactly, so every matching block is found.
 
+A notice that is wrapped over lines is found by a window over the words of a paragraph (lines with
+words, one after the other): at least THRESHOLD of the template's distinct words among STRETCH times
+as many words in sequence as the template has, not all on one line. Each matching line and window
+is a notice; the SQL of op10 knows lines alone.
+
 A null text is an empty text: no words, no places, empty labels, score 0. Rows with null or
 repeated doc_id are rows like any other. Other columns are not looked at."""
 
@@ -34,6 +39,8 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license"),
 ]
 THRESHOLD = (8, 10)
+#: Words in sequence that a wrapped notice may take, as a multiple of its template's.
+STRETCH = 2
 
 
 class _Vocabulary:
@@ -41,6 +48,7 @@ class _Vocabulary:
 
     def __init__(self, templates, phrases, threshold):
         self.sets = [sorted(set(t.split())) for _, t in templates]
+        self.spans = [STRETCH * len(t.split()) for _, t in templates]
         self.labels = [label for label, _ in templates]
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         self.words = sorted({w for s in self.sets for w in s} | {w for p, _ in self.phrases for w in p})
@@ -76,6 +84,37 @@ def _held(block: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np
     return np.divmod(np.unique(block[some] * size + ids[some]), size)
 
 
+def _wrapped(words: Words, block: np.ndarray, ids: np.ndarray, vocabulary: _Vocabulary) -> list[tuple[int, int, int, int]]:
+    """(template, first word, last word, distinct words held) of the notices wrapped over lines; of
+    windows that overlap, the first of those that hold most."""
+    at = np.flatnonzero(ids >= 0)
+    fresh = np.ones(len(ids), bool)
+    fresh[1:] = (np.diff(words.doc) > 0) | (np.diff(block) > 1)
+    paragraph = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))[at]
+    last = {}
+    for w in np.unique(ids[at]):
+        last[w] = np.maximum.accumulate(np.where(ids[at] == w, at, -1))
+    out = []
+    for t, span in enumerate(vocabulary.spans):
+        own = [w for w in np.flatnonzero(vocabulary.has[:, t]) if w in last]
+        if len(own) < vocabulary.need[t]:
+            continue
+        begin = np.maximum(paragraph, at - span + 1)
+        seen = np.stack([last[w] for w in own])
+        inside = seen >= begin
+        held, first = inside.sum(0), np.where(inside, seen, len(ids)).min(0)
+        kept: list[tuple[int, int, int, int]] = []
+        for i in np.flatnonzero((held >= vocabulary.need[t]) & vocabulary.has[ids[at], t]):
+            if block[first[i]] == block[at[i]]:
+                continue
+            if not kept or first[i] > kept[-1][2]:
+                kept.append((t, int(first[i]), int(at[i]), int(held[i])))
+            elif held[i] > kept[-1][3]:
+                kept[-1] = (t, int(first[i]), int(at[i]), int(held[i]))
+        out += kept
+    return out
+
+
 def block_counts(docs: DataFrame, vocabulary: _Vocabulary) -> np.ndarray:
     """How many blocks of the corpus hold each word of the vocabulary: one number a word."""
 
@@ -96,8 +135,9 @@ def block_counts(docs: DataFrame, vocabulary: _Vocabulary) -> np.ndarray:
 
 def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD) -> DataFrame:
     """A row for each row of docs: doc_id, n_words, places array<struct<label, word>> of the
-    phrases, matches array<struct<label, template, block, containment>> of the templates; word and
-    block count from 0 within the text."""
+    phrases, matches array<struct<label, template, block, containment>> of the templates by line,
+    notices array<struct<label, template, block, blocks, containment>> of them by line and by the
+    lines they are wrapped over; word and block count from 0 within the text."""
     v = _Vocabulary(templates, phrases, threshold)
     counts = block_counts(docs, v)
     n_words, n_templates = v.has.shape
@@ -111,6 +151,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
 
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
     match = pa.struct([("label", pa.string()), ("template", pa.int32()), ("block", pa.int64()), ("containment", pa.float64())])
+    notice = pa.struct([("label", pa.string()), ("template", pa.int32()), ("block", pa.int64()), ("blocks", pa.int64()), ("containment", pa.float64())])
 
     def run(batches):
         for batch in batches:
@@ -119,6 +160,8 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
                 ids, block = v.ids(words), _blocks(words)
                 places: list[list] = [[] for _ in range(last - first)]
                 matches: list[list] = [[] for _ in range(last - first)]
+                notices: list[list] = [[] for _ in range(last - first)]
+                whole = set()
                 for phrase, label in v.phrases:
                     k = len(phrase)
                     if len(ids) < k:
@@ -150,16 +193,27 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
                         d = words.doc[w]
                         lines = int((words.data[offsets[d] : words.start[w]] == 10).sum())
                         matches[d].append({"label": v.labels[t], "template": int(t), "block": lines, "containment": float(n / v.size[t])})
+                        whole.add((t, b))
+                        notices[d].append(matches[d][-1] | {"blocks": 1})
+                for t, begin, end, n in _wrapped(words, block, ids, v):
+                    if any((t, b) in whole for b in range(block[begin], block[end] + 1)):
+                        continue  # a line of it matches alone
+                    d = words.doc[begin]
+                    lines = int((words.data[offsets[d] : words.start[begin]] == 10).sum())
+                    notices[d].append({
+                        "label": v.labels[t], "template": t, "block": lines, "blocks": int(block[end] - block[begin]) + 1, "containment": float(n / v.size[t]),
+                    })
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first), pa.array(np.diff(words.of)),
-                        pa.array(places, pa.list_(place)), pa.array(matches, pa.list_(match)),
+                        pa.array(places, pa.list_(place)), pa.array(matches, pa.list_(match)), pa.array(notices, pa.list_(notice)),
                     ],
-                    ["doc_id", "n_words", "places", "matches"],
+                    ["doc_id", "n_words", "places", "matches", "notices"],
                 )
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run,
         "doc_id long, n_words long, places array<struct<label:string,word:long>>, "
-        "matches array<struct<label:string,template:int,block:long,containment:double>>",
+        "matches array<struct<label:string,template:int,block:long,containment:double>>, "
+        "notices array<struct<label:string,template:int,block:long,blocks:long,containment:double>>",
     )

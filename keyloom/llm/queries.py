@@ -98,12 +98,12 @@ def op9_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licenses.scan(table(spark, sf_dir, "documents"))
     starts = F.col("places.word")
-    base, extra = F.col("places.label"), F.col("matches.label")
+    base, extra = F.col("places.label"), F.col("notices.label")
     return found.select(
         "doc_id", "n_words", F.size("places").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"),
         F.array_max(starts).alias("last_word"), F.array_join(F.array_sort(F.array_distinct(base)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union(base, extra)), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("matches.containment"), F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max("notices.containment"), F.lit(0.0))).alias("score"),
     )
 
 

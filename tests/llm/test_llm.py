@@ -286,6 +286,25 @@ def test_licenses(spark):
         assert got[i] == sorted(want)
 
 
+def licence_labels(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    rows = queries.op10_licenses(spark, str(tmp_path)).collect()
+    return [(r["labels"], r["score"]) for r in sorted(rows, key=lambda r: r["doc_id"])]
+
+
+def test_licenses_wrapped_over_lines(spark, tmp_path):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that"
+    isc = "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided"
+    cc = "This work is licensed under a Creative Commons\nAttribution 4.0 International License."
+    narrow = "/*\n * " + "\n * ".join(bsd.replace("\n", " ").split()) + "\n */"
+    texts = [bsd, isc, cc, narrow, "Some code.\r\n" + bsd.replace("\n", "\r\n"), bsd.replace("\n", "\n\n"), bsd.split("\n")[0], "modification, are permitted"]
+    texts.append("\n".join(f"{w} {' '.join(WORDS * 4)}" for w in bsd.split()))  # the words of a notice, strewn over prose
+    got = licence_labels(spark, tmp_path, texts)
+    assert got == [("bsd", 1.0), ("isc", 1.0), ("cc", 1.0), ("bsd", 1.0), ("bsd", 1.0), ("", 0.0), ("", 0.0), ("", 0.0), ("", 0.0)]
+    found = licenses.scan(spark.createDataFrame([(1, "intro\n" + bsd)], "doc_id long, text string")).head()
+    assert not found["matches"] and [tuple(n) for n in found["notices"]] == [("bsd", 2, 1, 2, 1.0)]
+
+
 @needs_data
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_against_sql(spark, name):
