@@ -9,7 +9,8 @@ words (length filter), and from the place of its first prefix word on, enough wo
 A notice that is wrapped over lines is found by a window over the words of a paragraph (lines with
 words, one after the other): at least THRESHOLD of the template's distinct words among STRETCH times
 as many words in sequence as the template has, not all on one line. Each matching line and window
-is a notice; the SQL of op10 knows lines alone.
+that holds the words of its template that name the licence (TELLING) is a notice; `matches` and the
+SQL of op10 know lines alone, and count the telling words like any other.
 
 A null text is an empty text: no words, no places, empty labels, score 0. Rows with null or
 repeated doc_id are rows like any other. Other columns are not looked at."""
@@ -39,6 +40,8 @@ TEMPLATES = [
     ("mpl", "subject to the terms of the mozilla public license"),
 ]
 THRESHOLD = (8, 10)
+#: Words that tell one licence from another; a notice must hold those of its template.
+TELLING = {"apache", "commons", "creative", "mit", "mozilla"}
 #: Words in sequence that a wrapped notice may take, as a multiple of its template's.
 STRETCH = 2
 
@@ -62,6 +65,7 @@ class _Vocabulary:
         for t, s in enumerate(self.sets):
             self.has[[self.words.index(w) for w in s], t] = True
         self.size = self.has.sum(0)
+        self.telling = self.has & np.isin(self.words, sorted(TELLING))[:, None]
         num, den = threshold
         self.need = -(-num * self.size // den)
 
@@ -102,9 +106,10 @@ def _wrapped(words: Words, block: np.ndarray, ids: np.ndarray, vocabulary: _Voca
         begin = np.maximum(paragraph, at - span + 1)
         seen = np.stack([last[w] for w in own])
         inside = seen >= begin
+        told = inside[[i for i, w in enumerate(own) if vocabulary.telling[w, t]]].sum(0) == vocabulary.telling[:, t].sum()
         held, first = inside.sum(0), np.where(inside, seen, len(ids)).min(0)
         kept: list[tuple[int, int, int, int]] = []
-        for i in np.flatnonzero((held >= vocabulary.need[t]) & vocabulary.has[ids[at], t]):
+        for i in np.flatnonzero(told & (held >= vocabulary.need[t]) & vocabulary.has[ids[at], t]):
             if block[first[i]] == block[at[i]]:
                 continue
             if not kept or first[i] > kept[-1][2]:
@@ -185,14 +190,19 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
                     kept = np.unique(cand)
                     inside = np.isin(held_block, kept)
                     overlap = np.zeros((len(kept), n_templates), np.int64)
+                    telling = np.zeros((len(kept), n_templates), np.int64)
                     np.add.at(overlap, np.searchsorted(kept, held_block[inside]), v.has[held_word[inside]])
+                    np.add.at(telling, np.searchsorted(kept, held_block[inside]), v.telling[held_word[inside]])
                     got = overlap[np.searchsorted(kept, cand), template]
                     ok = got >= v.need[template]
+                    told = telling[np.searchsorted(kept, cand), template] == v.telling.sum(0)[template]
                     first_word = np.searchsorted(block, cand[ok])
-                    for b, t, n, w in zip(cand[ok], template[ok], got[ok], first_word):
+                    for b, t, n, w, sure in zip(cand[ok], template[ok], got[ok], first_word, told[ok]):
                         d = words.doc[w]
                         lines = int((words.data[offsets[d] : words.start[w]] == 10).sum())
                         matches[d].append({"label": v.labels[t], "template": int(t), "block": lines, "containment": float(n / v.size[t])})
+                        if not sure:
+                            continue
                         whole.add((t, b))
                         notices[d].append(matches[d][-1] | {"blocks": 1})
                 for t, begin, end, n in _wrapped(words, block, ids, v):

@@ -305,6 +305,14 @@ def test_licenses_wrapped_over_lines(spark, tmp_path):
     assert not found["matches"] and [tuple(n) for n in found["notices"]] == [("bsd", 2, 1, 2, 1.0)]
 
 
+def test_licenses_hold_the_words_that_name_them(spark, tmp_path):
+    texts = ["Released under the Apache License.", "Released under the BSD License.", "Released under the\nGPL license.", "Released under the MIT License."]
+    texts += ["Subject to the terms of the Eclipse Public License.", "Released under the MIT\nLicense."]
+    texts.append(" ".join(["released", *WORDS, "under", *WORDS, "the", *WORDS, "license"] * 50))
+    want = [("apache", 1.0), ("", 0.0), ("", 0.0), ("mit", 1.0), ("", 0.0), ("mit", 1.0), ("", 0.0)]
+    assert licence_labels(spark, tmp_path, texts) == want
+
+
 @needs_data
 @pytest.mark.parametrize("name", queries.ORACLE_SQL)
 def test_against_sql(spark, name):
