@@ -4,9 +4,11 @@ Pages of one host are laid over each other by simple tree matching (the largest
 mapping of two labelled trees). Every page's block-level tree, with runs of equal siblings folded,
 is merged into the host's wrapper; each wrapper node is a slot. Over all distinct pages of the host
 it is then counted which text each slot holds: a text that most pages with the slot share is
-template, the others are content. A page's text is what its varying slots hold within the article
-or main element, if it has one, without elements that by tag, class or id are menus, headers,
-footers, sidebars, notices, adverts, forms or reader comments.
+template, the others are content. A page's text is what its varying slots hold, without elements that
+by tag or by a whole class, id or role are menus, headers, footers, sidebars, notices, adverts, forms
+or reader comments; body, main and article are never dropped by name. On a host without template
+texts, nothing tells slots apart: there the text is that of the main and article elements, if the page
+has a main or if they hold at least half of what is left.
 
 All pages take part in the induction: trees are folded and made distinct first, then merged in
 salted groups of a host and their results again, so a host with most of the pages meets in no
@@ -67,6 +69,13 @@ class Node:
         self.texts: list[tuple[int, str]] = []
 
 
+def whole_name(name: str) -> set[str]:
+    """The words of a class, id or role if each of them is one of DROPPED_NAMES (numbers aside), else
+    the name as it is: cookie-banner and comment-12 are dropped names, no-sidebar is not."""
+    words = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()}
+    return words if words <= DROPPED_NAMES else {name.lower()}
+
+
 def parse(page: str) -> tuple[Node, int]:
     """The tree of block-level elements, with the numbered text blocks of each, and their count.
     Text between two block-level tags is a block; void, raw and misnested tags are as in HTML."""
@@ -139,7 +148,7 @@ def parse(page: str) -> tuple[Node, int]:
             if tag in IMPLIED and (i := find(IMPLIED[tag], SCOPE - {tag})):
                 close(i)
             found = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attrs)}
-            names = set(re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", " ".join(found.values())).lower())) - {""}
+            names = {x for v in found.values() for name in v.split() for x in whole_name(name)}
             label = (found.get("class", "").split() or [found.get("id", "")])[0]
             node = Node(tag, re.sub(r"\d+", "", label), names, here)
             here.children.append(node)
@@ -251,7 +260,11 @@ def _own_text(node: Node) -> str:
 
 
 def dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED_TAGS or node.names & DROPPED_NAMES:
+    if node.tag in DROPPED_TAGS:
+        return True
+    if node.tag in ("html", "body", "main", "article"):
+        return False
+    if node.names & DROPPED_NAMES:
         return True
     return not in_article and (node.tag == "header" or "header" in node.names and not node.names & {"article", "entry", "post"})
 
@@ -268,30 +281,33 @@ def extract(page: str, wrapper: list | None = None, numbers: dict | None = None,
         for slot, nodes in zip(memo[shape], slots_of([root])):
             template.update(id(n) for n in nodes if n.texts and (slot, _digest(_own_text(n))) in constant)
 
-    def blocks(node, in_article):
+    main = False
+
+    def blocks(node, in_article, inside):
+        nonlocal main
         if dropped(node, in_article):
             return []
-        in_article = in_article or node.tag in ("article", "main") or "main" == node.name
-        out = [(i, t, id(node) in template) for i, t in node.texts]
+        main = main or node.tag == "main"
+        inside = inside or node.tag in ("article", "main")
+        in_article = inside or in_article or "main" == node.name
+        out = [(i, t, id(node) in template, inside) for i, t in node.texts]
         for c in node.children:
-            out += blocks(c, in_article)
+            out += blocks(c, in_article, inside)
         return out
 
-    def regions(node):
-        if dropped(node, False):
-            return []
-        if node.tag in ("article", "main"):
-            inner = [r for c in node.children for r in regions(c)] if node.tag == "main" else []
-            return inner or [node]
-        return [r for c in node.children for r in regions(c)]
-
-    main = regions(root)
-    found = sorted(b for r in main for b in blocks(r, True)) or sorted(blocks(root, False))
-    varying = [b for b in found if not b[2]]
+    def size(some):
+        return sum(len(b[1]) for b in some)
+
+    found = sorted(blocks(root, False, False))
+    core = [b for b in found if b[3]]
+    if not constant:
+        return [b[1] for b in (core if core and (main or size(core) * 2 >= size(found)) else found)]
+    kept = [b for b in found if not b[2]]
     # A page whose content most other pages of its host share as well is kept whole.
-    if sum(len(t) for _, t, _ in varying) * 2 < sum(len(t) for _, t, _ in found):
-        varying = found
-    return [t for _, t, _ in varying]
+    core = core or found
+    if size(kept) * 2 < size(core):
+        kept = sorted({*kept, *core})
+    return [b[1] for b in kept]
 
 
 def host(url: str | None) -> str:

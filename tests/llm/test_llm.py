@@ -261,6 +261,28 @@ def test_html_wrapper(spark):
     assert html_wrapper.main_text(empty(spark, "page_id long, url string, html string")).count() == 0
 
 
+def test_html_names_and_regions(spark):
+    def page(i):
+        return (
+            f"<body class='single no-sidebar'><div class='top'>Hosted by us</div><main class='content has-sidebar'><h1>Head {i}</h1><p>Lead {i}</p>"
+            f"<article class='with-comments'><p>Body of story number {i}</p></article><div class='cookie-banner'>eat {i}</div></main></body>"
+        )
+
+    def blog(i):
+        story = f"<div class='story'><p>The long story of day {i}, told in full</p></div>"
+        return f"<body><div class='top'>Hosted by us</div>{story}<article><p>Read this teaser</p></article><article><p>And that teaser</p></article><div id='comment-{i}'>hi {i}</div>"
+
+    rows = [(i, f"http://a.example/{i}", page(i)) for i in range(6)] + [(10 + i, f"http://b.example/{i}", blog(i)) for i in range(6)]
+    rows += [(20, "http://lone.example/", page(9)), (21, "http://lonely.example/", blog(9))]
+    rows += [(22, "http://x.example/", "<div class='no-sidebar'><p>kept</p></div><div class='navMenu'>gone</div>")]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html_wrapper.main_text(df).collect()}
+    for i in range(6):
+        assert got[i] == f"Head {i}\nLead {i}\nBody of story number {i}"
+        assert got[10 + i] == f"The long story of day {i}, told in full"
+    assert got[20] == "Head 9\nLead 9\nBody of story number 9" and "The long story of day 9, told in full" in got[21] and got[22] == "kept"
+
+
 def test_tree_matching():
     a, b = ["r", ["x"], ["y", ["z"]], ["x"]], ["r", ["y", ["z"], ["w"]], ["x"], ["q"]]
     assert html_wrapper.match(a, b, {})[0] == 4
