@@ -105,11 +105,12 @@ class Router:
 
 def learn(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tuple[Router, int]:
     """The router and the number of parts that a query opens. Held-out queries of the sample need
-    so many parts for `recall` of their k nearest in the sample."""
+    so many parts for `recall` of their k nearest in the sample. Nearest is by inner product, as in
+    the rerank; the router sees directions alone, for a query's length doesn't change its order."""
     x = _unit(sample)
     held = min(HELD_OUT, len(x) // 5)
-    q, x = x[:held], x[held:]
-    near = neighbour_lists(x, x, min(NEIGHBOURS, len(x) - 1), True)
+    q, x, asked, full = x[:held], x[held:], sample[:held], sample[held:]
+    near = neighbour_lists(full, full, min(NEIGHBOURS, len(x) - 1), True)
     part = balanced_parts(x, near, parts)
     target = np.zeros((len(x), parts))
     np.add.at(target, (np.repeat(np.arange(len(x)), near.shape[1]), part[near].ravel()), 1)
@@ -119,7 +120,7 @@ def learn(sample: np.ndarray, parts: int, k: int, recall: float = RECALL) -> tup
         return router, parts
     home = router.order(x)[:, 0]
     place = np.argsort(router.order(q), axis=1)
-    true = neighbour_lists(q, x, min(k, len(x)), False)
+    true = neighbour_lists(asked, full, min(k, len(x)), False)
     needed = np.take_along_axis(place, home[true], 1)
     reached = (needed[:, :, None] <= np.arange(parts)).mean((0, 1))
     return router, int(np.argmax(reached >= recall)) + 1

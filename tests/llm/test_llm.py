@@ -161,6 +161,19 @@ def test_learned_ann_recall(spark):
     assert learned_ann.nearest(odd, 20, 20).groupBy("query_id").count().agg(F.min("count"), F.max("count")).head()[:] == (20, 20)
 
 
+def test_learned_ann_recall_with_skewed_norms():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(12_000, 16))
+    x *= np.exp(rng.normal(size=(len(x), 1))) / np.linalg.norm(x, axis=1, keepdims=True)
+    router, probes = learned_ann.learn(x[:6000], 12, 20)
+    order, hits = router.order(x), 0
+    for q in range(0, len(x), 100):
+        s = x @ x[q]
+        s[q] = -np.inf
+        hits += np.isin(order[np.argpartition(-s, 20)[:20], 0], order[q, :probes]).sum()
+    assert hits / (120 * 20) >= 0.93
+
+
 def test_hilbert_curve_and_shards(spark):
     grid = np.stack(np.meshgrid(*[np.arange(8)] * 3, indexing="ij"), -1).reshape(-1, 3)
     index = sharding.hilbert_index(grid, 3)
