@@ -386,3 +386,29 @@ def test_pipeline(spark):
     assert mixed.columns == docs.columns
     out = p.run(spark, DATA)
     assert out.count() > 0 and {"doc_id", "ids", "n_tokens"} <= set(out.columns)
+
+
+@needs_data
+def test_pipeline_stages_keep_their_rows(spark, monkeypatch):
+    import corpus_pipeline as p
+
+    docs, labels = queries.table(spark, DATA, "documents"), queries.table(spark, DATA, "labels")
+    rows = [tuple(r) for r in docs.collect()]
+    for stage, module, keeps in ((p.keep_quality, quality, lambda s: s >= 0.5), (p.drop_toxic, toxicity, lambda s: s < 0.5)):
+        scored = module.score(docs, module.train(docs, labels), "_s").collect()
+        want = sorted((tuple(r)[:-1] for r in scored if keeps(r["_s"])), key=str)
+        assert sorted((tuple(r)[:-1] for r in scored), key=str) == sorted(rows, key=str)
+        assert sorted(map(tuple, stage(spark, docs, DATA).collect()), key=str) == want
+    for name, value in (("MIX_SHARE", p.SHARE), ("MIX_EPOCHS", p.EPOCHS), ("MIX_SEED", p.SEED)):
+        monkeypatch.setattr(queries, name, value)
+    c = duckdb.connect()
+    c.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    taken = c.sql(f"SELECT doc_id, n_tokens, taken FROM ({queries._sql_mixing()})").fetchall()
+    texts, want = {r[0]: r for r in rows}, []
+    for doc_id, n, k in taken:
+        r = dict(zip(docs.columns, texts[doc_id]))
+        if k < n:
+            r["text"] = r["text"][: [m.end() for m in re.finditer(r"[^\x20\x09-\x0D]+", r["text"])][k - 1]]
+            r["n_chars"] = len(r["text"])
+        want.append(tuple(r.values()))
+    assert sorted(map(tuple, p.mix_sources(spark, docs, DATA).collect()), key=str) == sorted(want, key=str)
