@@ -25,7 +25,11 @@ class InvalidKey(KeyloomError):
     """A key or value over the size limits."""
 
 
-class PageSizeMismatch(KeyloomError):
+class OptionMismatch(KeyloomError):
+    """An option differs from what the store was made with."""
+
+
+class PageSizeMismatch(OptionMismatch):
     pass
 
 

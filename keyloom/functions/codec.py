@@ -93,6 +93,25 @@ def internal_key_column(path: Column, key: Column) -> Column:
     return F.when(F.size(path) == 0, key).otherwise(F.concat(kind, ns_column(path), key))
 
 
+def depth_column(ns: Column) -> Column:
+    """How many names a namespace has."""
+    length = lambda at: F.conv(F.hex(F.substring(ns, at, F.lit(1))), 16, 10).cast("int")
+    start = F.struct(F.lit(1).alias("at"), F.lit(0).alias("n"))
+
+    def step(s, _):
+        after = F.struct((s["at"] + length(s["at"]) + 1).alias("at"), (s["n"] + 1).alias("n"))
+        return F.when(s["at"] <= F.octet_length(ns), after).otherwise(s)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(MAX_DEPTH)), start, step, lambda s: s["n"])
+
+
+def stored_key_column(ns: Column, key: Column) -> Column:
+    """The one-map key of a stored entry, from its namespace alone."""
+    depth = depth_column(ns)
+    kind = F.when(depth == 1, F.lit(b"\x01")).otherwise(F.concat(F.lit(b"\x03"), byte(depth)))
+    return F.when(F.octet_length(ns) == 0, key).otherwise(F.concat(kind, ns, key))
+
+
 def user_key_column(path, internal: Column) -> Column:
     """Strips the prefix of a literal path; null for keys of other paths."""
     prefix = internal_key(path, b"")

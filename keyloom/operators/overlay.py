@@ -4,7 +4,7 @@ Operations have columns txid, seq, op ('put' or 'del'), ns, key, value; (txid, s
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.codec import successor
@@ -26,11 +26,15 @@ def apply_ops(base: DataFrame, last: DataFrame, keys: list[str] = KEYS, value: s
     return kept.unionByName(last.where(F.col("op") == "put").select(*keys, value))
 
 
+def inside(column: Column, ns: bytes) -> Column:
+    """Whether a namespace is ns or below it, as a range."""
+    end = successor(ns)
+    return (column >= F.lit(ns)) & ((column < F.lit(end)) if end is not None else F.lit(True))
+
+
 def without_below(rows: DataFrame, ns: bytes) -> DataFrame:
     """Rows outside a namespace and all below it (a cascade), as one pushed range predicate."""
-    end = successor(ns)
-    inside = (F.col("ns") >= F.lit(ns)) & ((F.col("ns") < F.lit(end)) if end is not None else F.lit(True))
-    return rows.where(~inside)
+    return rows.where(~inside(F.col("ns"), ns))
 
 
 def updates(base: DataFrame, puts: DataFrame, keys: list[str] = KEYS) -> DataFrame:

@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from keyloom.errors import BucketNotFound
 from keyloom.functions.codec import (
-    as_bytes, check_name, check_path, decode_path, encode_path, internal_key, internal_key_column, meta_key,
+    as_bytes, check_name, check_path, decode_path, encode_path, internal_key, meta_key, stored_key_column,
 )
+from keyloom.functions.hashing import BloomFilter, bloom_of
 from keyloom.operators.bounds import has_prefix, in_range
 from keyloom.operators.metrics import ObservedScan, ScanMetrics, scan_metrics
 
@@ -128,12 +129,8 @@ class ReadView:
 
     def iter(self, options: IterOptions | None = None) -> DataFrame:
         """All entries under their one-map keys, bucket marks included, in key order."""
-        path = F.transform(F.col("path"), lambda p: F.unhex(p))
-        known = [(encode_path(p), [c.hex() for c in p]) for p in self.paths()]
-        spark = self.kv.sparkSession
-        names = spark.createDataFrame([(b"", []), *known], "ns binary, path array<string>")
-        data = self.kv.join(F.broadcast(names), "ns").select(internal_key_column(path, F.col("key")).alias("key"), "value")
-        marks = spark.createDataFrame([(meta_key(p), b"") for p in self.buckets], "key binary, value binary")
+        data = self.kv.select(stored_key_column(F.col("ns"), F.col("key")).alias("key"), "value")
+        marks = self.kv.sparkSession.createDataFrame([(meta_key(p), b"") for p in self.buckets], "key binary, value binary")
         return data.unionByName(marks).orderBy("key")
 
     iter_with_options = iter
@@ -144,6 +141,17 @@ class ReadView:
     def paths(self) -> list[Path]:
         return sorted(self.buckets, key=lambda p: (len(p), encode_path(p)))
 
+    def bloom(self, fpp: float = 0.01) -> BloomFilter:
+        """A filter of all one-map keys, made at the first call and kept with the view."""
+        if "_bloom" not in self.__dict__:
+            keys = self.kv.select(stored_key_column(F.col("ns"), F.col("key")).alias("key"))
+            self.__dict__["_bloom"] = bloom_of(keys, "key", keys.count(), fpp)
+        return self.__dict__["_bloom"]
+
+    def may_contain_key(self, key, path: Path = ()) -> bool:
+        """False only if the key isn't there; answered by the filter, without a read."""
+        return bool(self.bloom().may_contain(internal_key(tuple(map(as_bytes, path)), as_bytes(key)))[0])
+
     def count(self) -> int:
         """Entries of all namespaces and marks of buckets."""
         return self.kv.count() + len(self.buckets)

@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 from keyloom.errors import PageSizeMismatch
 from keyloom.functions.layout import PAGE_SIZES
 from keyloom.streaming.checkpoint import CheckpointConfig
+from keyloom.streaming.group_commit import GroupCommitConfig
 
 
 @dataclass(frozen=True)
@@ -15,7 +16,17 @@ class Options:
     overflow_threshold: int = 16 * 1024
     write_buffer_size: int = 256 * 1024
     row_group_size: int = 64 << 20
+    #: Deltas and drops, and segments of the log, above a base before a commit writes a new one.
     max_deltas: int = 16
+    max_segments: int = 4096
+    wal_enabled: bool = False
+    #: A transaction of more bytes goes into a delta that the log names.
+    wal_segment_size: int = 64 << 20
+    #: Manifests and files stay this long though newer ones replace them, for readers without a snapshot.
+    retention_s: float = 3600.0
+    #: Marks of snapshots and commits older than this are of processes that died.
+    hold_s: float = 7 * 86400.0
+    group: GroupCommitConfig = field(default_factory=GroupCommitConfig)
     auto_checkpoint: bool = False
     checkpoint: CheckpointConfig = field(default_factory=CheckpointConfig)
 

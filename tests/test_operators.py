@@ -15,7 +15,7 @@ from keyloom.operators.metrics import ScanMetrics
 from keyloom.operators.read import View
 from keyloom.sources.wal import Record, RecordType, WalWriter, decode, read_wal
 from keyloom.streaming import log
-from keyloom.streaming.checkpoint import CheckpointConfig, CheckpointInfo, CheckpointPolicy
+from keyloom.streaming.checkpoint import CheckpointConfig, CheckpointInfo, CheckpointPolicy, perform_checkpoint
 from keyloom.streaming.group_commit import GroupCommit, GroupCommitConfig
 
 KEYS = [b"", b"\x00", b"\x00\x01", b"a", b"ab", b"b", b"\x7f", b"\x80", b"\xff", b"\xff\xff"]
@@ -117,7 +117,13 @@ def test_wal_recovery(spark, tmp_path):
     assert got == {b"k1": ("del", None), b"k2": ("put", b"b"), b"k4": ("put", b"d")}
     again = WalWriter(str(tmp_path), segment_size=200)
     assert again.current_lsn() == lsn
-    assert again.truncate_before(lsn) > 0 and len(again.segments()) == 1
+    with pytest.raises(errors.CheckpointFailed):
+        perform_checkpoint(lsn, again, lambda: 1 / 0)
+    assert len(again.segments()) > 1
+    info = perform_checkpoint(lsn, again, lambda: 3, lambda: 9.0)
+    assert len(again.segments()) == 1 and info == CheckpointInfo(lsn, 9, 3) == CheckpointInfo.from_bytes(info.to_bytes())
+    assert CheckpointInfo.from_bytes(b"short") is None and CheckpointPolicy.restore(None, info, now=lambda: 10.0).should_checkpoint(0) is False
+    assert CheckpointPolicy.restore(None, info, now=lambda: 1000.0).should_checkpoint(0) and CheckpointPolicy.restore(None, info).last_checkpoint_lsn() == lsn
 
 
 def test_checkpoint_policy():
