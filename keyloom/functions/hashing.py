@@ -50,6 +50,30 @@ def fnv1a(value: Column, seed: int = 0) -> Column:
     return F.pandas_udf(run, "string")(value)
 
 
+def bytes_sql(text: str) -> str:
+    """DuckDB SQL of the UTF-8 bytes of a string expression, as a list of integers."""
+    return f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda h: CAST('0x' || h AS BIGINT))"
+
+
+#: DuckDB SQL of the 256 steps of CRC-32 by its polynomial, and of a fold over a list of bytes with
+#: that list at hand as `steps`.
+CRC_STEPS_SQL = (
+    "(SELECT list_transform(range(256), lambda i: list_reduce(list_concat([CAST(i AS BIGINT)], [0, 0, 0, 0, 0, 0, 0, 0]), "
+    f"lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, {0xEDB88320}) ELSE a >> 1 END)) AS steps)"
+)
+
+
+def crc_sql(octets: str) -> str:
+    fold = f"list_reduce(list_concat([CAST({2**32 - 1} AS BIGINT)], {octets}), lambda a, y: xor(steps[CAST((xor(a, y) & 255) + 1 AS BIGINT)], a >> 8))"
+    return f"CAST(xor({fold}, {2**32 - 1}) AS BIGINT)"
+
+
+def fnv1a_sql(octets: str) -> str:
+    """DuckDB SQL of FNV-1a over a list of bytes, as 16 hex digits."""
+    fold = f"list_reduce(list_concat([CAST({FNV_OFFSET} AS HUGEINT)], {octets}), lambda a, y: (xor(a, CAST(y AS HUGEINT)) * {FNV_PRIME}) % {2**64})"
+    return f"lower(lpad(to_hex({fold}), 16, '0'))"
+
+
 class BloomFilter:
     """A Bloom filter over byte strings; without false negatives for what was put in."""
 
