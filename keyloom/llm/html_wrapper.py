@@ -3,27 +3,37 @@
 Pages of one host are laid over each other by simple tree matching (the largest order-preserving
 mapping of two labelled trees). Every page's block-level tree, with runs of equal siblings folded,
 is merged into the host's wrapper; each wrapper node is a slot. Over all distinct pages of the host
-it is then counted which text each slot holds: a text that most pages with the slot share is
-template, the others are content. A page's text is what its varying slots hold, without elements that
-by tag or by a whole class, id or role are menus, headers, footers, sidebars, notices, adverts, forms
-or reader comments; body, main and article are never dropped by name. On a host without template
-texts, nothing tells slots apart: there the text is that of the main and article elements, if the page
-has a main or if they hold at least half of what is left.
-
-All pages take part in the induction: trees are folded and made distinct first, then merged in
-salted groups of a host and their results again, so a host with most of the pages meets in no
-task; counts are partial aggregates. No text is cut.
+it is counted which texts each slot holds. A text that SHARE of the pages with the slot have, at
+least LEAST of them, is template; the other text varies. (Pages with the same longest block are
+copies of one another and count as one, so that copied articles don't look like template.)
+
+The wrapper chooses the content region: from the root it goes down into the container below that
+holds DOMINANT of the varying text, as long as that container isn't one of a run of siblings, and
+takes along headings and paragraphs that stand before it. A page's text is the varying text of its
+nodes in the region. A page that has no node there, or whose host has no other page, gets its region
+in the same way from its own text alone.
+
+Priors beside the wrapper: elements whose tag, or whole class, id or role, says that they are one of
+the kinds that are never content (DROPPED_TAGS, KINDS) hold no content, and text in main and article
+elements weighs MAIN_WEIGHT as much in the choice of the region.
+
+All pages take part: trees are folded and made distinct first, then merged in groups of at most
+FAN trees, and the results again, so a host with most of the pages meets in no task; counts are
+partial aggregates. A host's wrapper and template texts reach a task once: broadcast while they
+have together at most BROADCAST_BYTES, else sorted in front of the host's pages, which are
+dealt over tasks. No text is cut and trees may be of any depth.
 
 A null html is an empty page: text "" and n_chars 0. A null or hostless url forms a host of its
 own with all such pages. Repeated rows are pages like any other (equal ones count once in the
-statistics). Other columns are not looked at."""
+statistics); ties between containers go to the first. An empty table gives no rows. Other columns
+are not looked at."""
 
 from __future__ import annotations
 
 import hashlib
 import html
-import json
 import re
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,21 +57,28 @@ IMPLIED = {
 #: ... unless one of these lies between.
 SCOPE = set("ul ol dl table select menu body article section".split())
 DROPPED_TAGS = set("nav aside footer form button select option menu dialog script style noscript template iframe textarea title svg head".split())
-DROPPED_NAMES = set(
-    "ad ads adv advert adverts advertisement advertising adbox adslot banner sponsor sponsored promo promotion sidebar nav navbar "
-    "navigation menu breadcrumb breadcrumbs footer masthead cookie cookies consent gdpr notice notices alert popup modal overlay newsletter "
-    "subscribe signup share sharing social related recommended comments comment commentlist disqus respond replies widget toolbar "
-    "pagination pager skip login search copyright disclaimer".split()
-)
+#: The kinds of parts that are no article, as whole names of elements.
+KINDS = set("ad ads advert adverts banner comment comments cookie cookies footer form forms menu menus nav navbar notice notices sidebar".split())
+#: Elements that may be the content region, and those that are taken along in front of it.
+CONTAINERS = set("html body main article section div center table tbody tr td details".split())
+LEADS = set("h1 h2 h3 h4 h5 h6 header hgroup p blockquote figure".split())
+SHARE, LEAST, DOMINANT, MAIN_WEIGHT, REPEATED = 0.8, 5, 0.6, 4, 1.25
+#: Trees merged in one task at a time, pages of a host in one task, and the most that is broadcast.
+FAN, HOST_PAGES, BROADCAST_BYTES = 256, 5_000, 32 << 20
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S
 )
 _NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HOST = re.compile(r"^[a-z][a-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", re.I)
+_HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)"
+
+
+# ---------------------------------------------------------------- pages
 
 
 class Node:
-    __slots__ = ("tag", "name", "names", "children", "texts", "parent", "shape", "fold")
+    """A block-level element. texts: (number of the block on the page, text)."""
+
+    __slots__ = ("tag", "name", "names", "children", "texts", "parent", "key", "fold", "slot", "main", "gone", "inside")
 
     def __init__(self, tag: str, name: str, names: set, parent):
         self.tag, self.name, self.names, self.parent = tag, name, names, parent
@@ -70,17 +87,19 @@ class Node:
 
 
 def whole_name(name: str) -> set[str]:
-    """The words of a class, id or role if each of them is one of DROPPED_NAMES (numbers aside), else
-    the name as it is: cookie-banner and comment-12 are dropped names, no-sidebar is not."""
+    """The words of a class, id or role if each of them is one of KINDS (numbers aside), else the name
+    as it is: cookie-banner and comment-12 are of these kinds, no-sidebar is not."""
     words = {w for w in re.split(r"[^a-z0-9]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", name).lower()) if w and not w.isdigit()}
-    return words if words <= DROPPED_NAMES else {name.lower()}
+    return words if words <= KINDS else {name.lower()}
 
 
-def parse(page: str) -> tuple[Node, int]:
-    """The tree of block-level elements, with the numbered text blocks of each, and their count.
-    Text between two block-level tags is a block; void, raw and misnested tags are as in HTML."""
+def parse(page: str) -> list[Node]:
+    """The block-level elements in page order, the root first, with the text blocks of each. Text
+    between two block-level tags is a block; void, raw and misnested tags are as in HTML."""
     root = Node("html", "", set(), None)
+    nodes = [root]
     stack: list[Node | str] = [root]  # inline elements stand as their names
+    opened: dict[str, int] = {}  # how many elements of each name are on the stack
     here, run, count, at, end = root, [], 0, 0, len(page)
 
     def flush():
@@ -92,14 +111,21 @@ def parse(page: str) -> tuple[Node, int]:
                 here.texts.append((count, text))
                 count += 1
 
+    def name(x) -> str:
+        return x.tag if isinstance(x, Node) else x
+
     def close(depth: int):
         nonlocal here
+        for x in reversed(stack[depth:]):
+            opened[name(x)] -= 1
+            here = x.parent if isinstance(x, Node) else here
         del stack[depth:]
-        here = next(x for x in reversed(stack) if isinstance(x, Node))
 
     def find(kinds: set, stop: set) -> int:
+        if not any(opened.get(k) for k in kinds):
+            return 0
         for i in range(len(stack) - 1, 0, -1):
-            tag = stack[i].tag if isinstance(stack[i], Node) else stack[i]
+            tag = name(stack[i])
             if tag in kinds:
                 return i
             if tag in stop:
@@ -119,7 +145,7 @@ def parse(page: str) -> tuple[Node, int]:
             continue
         tag = tag.lower()
         if slash:
-            if tag in BLOCK or tag in ("head",):
+            if tag in BLOCK or tag == "head":
                 flush()
             i = find({tag}, set())
             if i:
@@ -132,266 +158,439 @@ def parse(page: str) -> tuple[Node, int]:
                 continue
             stop = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
             at = stop.end() if stop else end
-            run.append(" ")
             continue
         if tag in VOID:
             if tag == "hr":
                 flush()
-            run.append(" ")
+            elif tag == "br":
+                run.append(" ")
             continue
         if tag in BLOCK or tag == "head":
             flush()
-            if tag in ("html", "body") and tag != "body":
+            if tag == "html":
                 continue
             if tag in CLOSES_P and (i := find({"p"}, {"button", "table", "td", "th"})):
                 close(i)
             if tag in IMPLIED and (i := find(IMPLIED[tag], SCOPE - {tag})):
                 close(i)
             found = {k.lower(): v.strip("\"'") for k, v in _NAMES.findall(attrs)}
-            names = {x for v in found.values() for name in v.split() for x in whole_name(name)}
-            label = (found.get("class", "").split() or [found.get("id", "")])[0]
-            node = Node(tag, re.sub(r"\d+", "", label), names, here)
-            here.children.append(node)
-            stack.append(node)
-            here = node
+            names = {x for v in found.values() for n in v.split() for x in whole_name(n)}
+            label = (found.get("class", "").split() or found.get("id", "").split() or [""])[0]
+            here = Node(tag, re.sub(r"\d+", "", label), names, here)
+            here.parent.children.append(here)
+            nodes.append(here)
+            stack.append(here)
         elif not attrs.endswith("/"):
             stack.append(tag)
+        else:
+            continue
+        opened[tag] = opened.get(tag, 0) + 1
     flush()
-    return root, count
+    for node in nodes:  # parents come first
+        up = node.parent
+        node.main = up is not None and (up.main or up.tag in ("article", "main") or up.name == "main")
+        node.gone = up is not None and up.gone or dropped(node, node.main)
+    return nodes
 
 
-def folded(node: Node) -> str:
-    """The node's shape as JSON-like text; runs of siblings of one shape are one. Sets node.fold: the
-    groups of children."""
-    node.fold = []
-    for child in node.children:
-        shape = folded(child)
-        if node.fold and node.fold[-1][0].shape == shape:
-            node.fold[-1].append(child)
-        else:
-            node.fold.append([child])
-    node.shape = json.dumps([f"{node.tag}.{node.name}", *[json.loads(g[0].shape) for g in node.fold]], ensure_ascii=False, separators=(",", ":"))
-    return node.shape
+def dropped(node: Node, in_main: bool) -> bool:
+    """Whether the element is by its own tag or names no content; body, main and article never are."""
+    if node.tag in DROPPED_TAGS:
+        return True
+    if node.tag in ("html", "body", "main", "article"):
+        return False
+    if node.names & KINDS:
+        return True
+    return not in_main and (node.tag == "header" or "header" in node.names and not node.names & {"article", "entry", "post"})
+
+
+def folded(nodes: list[Node]) -> tuple[str, list[list[Node]]]:
+    """(shape, places): the tree with runs of equal sibling trees as one, in preorder as depth:label
+    words, and the nodes that stand at each place of it."""
+    keys: dict = {}
+    for node in reversed(nodes):  # children come first
+        node.fold = []
+        for child in node.children:
+            if node.fold and node.fold[-1][0].key == child.key:
+                node.fold[-1].append(child)
+            else:
+                node.fold.append([child])
+        node.key = keys.setdefault((node.tag, node.name, tuple(g[0].key for g in node.fold)), len(keys))
+    words, places, todo = [], [], [(0, [nodes[0]])]
+    while todo:
+        depth, group = todo.pop()
+        words.append(f"{depth}:{group[0].tag}.{group[0].name}")
+        places.append(group)
+        for i in range(len(group[0].fold) - 1, -1, -1):
+            todo.append((depth + 1, [c for g in group for c in g.fold[i]]))
+    return " ".join(words), places
 
 
-def slots_of(groups: list[Node]) -> list[list[Node]]:
-    """The nodes of each place of the folded tree, in preorder."""
-    out = [groups]
-    width = len(groups[0].fold)
-    for i in range(width):
-        out += slots_of([c for g in groups for c in g.fold[i]])
-    return out
+def _digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
 
-def match(a: list, b: list, memo: dict) -> tuple[int, list]:
-    """Simple tree matching of [label, *children]: (size of the mapping, matched pairs of children)."""
-    key = (id(a), id(b))
-    if key in memo:
-        return memo[key]
-    if a[0] != b[0]:
-        memo[key] = (0, [])
-        return memo[key]
-    n, m = len(a), len(b)
-    best = [[0] * m for _ in range(n)]
-    for i in range(1, n):
-        for j in range(1, m):
-            best[i][j] = max(best[i - 1][j], best[i][j - 1], best[i - 1][j - 1] + match(a[i], b[j], memo)[0])
-    pairs, i, j = [], n - 1, m - 1
-    while i and j:
-        if best[i][j] == best[i - 1][j]:
-            i -= 1
-        elif best[i][j] == best[i][j - 1]:
-            j -= 1
-        else:
-            pairs.append((i, j))
-            i, j = i - 1, j - 1
-    memo[key] = (best[n - 1][m - 1] + 1, pairs[::-1])
-    return memo[key]
+def _weight(node: Node, text: str) -> int:
+    """What a text counts in the choice of the region."""
+    inside = node.main or node.tag in ("article", "main")
+    return 0 if node.gone else len(text) * (MAIN_WEIGHT if inside else 1)
+
+
+# ---------------------------------------------------------------- trees
+
+
+class Tree:
+    """label, kids, size (nodes) and key: trees are equal if their keys in the same `known` are."""
+
+    __slots__ = ("label", "kids", "size", "key")
+
+    def __init__(self, label: str, kids: list["Tree"], known: dict):
+        self.label, self.kids, self.size = label, kids, 1 + sum(k.size for k in kids)
+        self.key = known.setdefault((label, *[k.key for k in kids]), len(known))
+
+    def places(self, slot: int) -> list[tuple["Tree", int]]:
+        """The kids with their preorder numbers, if this node's is slot."""
+        return list(zip(self.kids, accumulate([k.size for k in self.kids], initial=slot + 1)))
+
 
+def tree_of(shape: str, known: dict) -> Tree:
+    open_: list[tuple[str, list[Tree]]] = []
 
-def merge(wrapper: list, tree: list, memo: dict | None = None) -> list:
+    def close(depth: int):
+        while len(open_) > depth:
+            label, kids = open_.pop()
+            tree = Tree(label, kids, known)
+            if not open_:
+                return tree
+            open_[-1][1].append(tree)
+        return None
+
+    for word in shape.split(" "):
+        depth, label = word.split(":", 1)
+        close(int(depth))
+        open_.append((label, []))
+    return close(0)
+
+
+def shape_of(tree: Tree) -> str:
+    words, todo = [], [(0, tree)]
+    while todo:
+        depth, node = todo.pop()
+        words.append(f"{depth}:{node.label}")
+        todo += [(depth + 1, k) for k in reversed(node.kids)]
+    return " ".join(words)
+
+
+def match(a: Tree, b: Tree, memo: dict) -> tuple[int, list[tuple[int, int]]]:
+    """Simple tree matching: (nodes of the largest mapping, pairs of kids in it). Equal kids at either
+    end are in some largest mapping, so only those between are compared."""
+    todo = [(a, b)]
+    while todo:
+        x, y = todo[-1]
+        key = (x.key, y.key)
+        if key in memo:
+            todo.pop()
+            continue
+        if x.label != y.label:
+            memo[key] = (0, [])
+            continue
+        n, m, head, tail = len(x.kids), len(y.kids), 0, 0
+        while head < min(n, m) and x.kids[head].key == y.kids[head].key:
+            head += 1
+        while tail < min(n, m) - head and x.kids[n - 1 - tail].key == y.kids[m - 1 - tail].key:
+            tail += 1
+        left, right = x.kids[head : n - tail], y.kids[head : m - tail]
+        open_ = {(c.key, d.key): (c, d) for c in left for d in right if c.label == d.label and (c.key, d.key) not in memo}
+        if open_:
+            todo += open_.values()
+            continue
+        best = [[0] * (len(right) + 1) for _ in range(len(left) + 1)]
+        for i, c in enumerate(left):
+            for j, d in enumerate(right):
+                both = memo[c.key, d.key][0] if c.label == d.label else 0
+                best[i + 1][j + 1] = max(best[i][j + 1], best[i + 1][j], best[i][j] + both)
+        pairs, i, j = [(n - 1 - k, m - 1 - k) for k in range(tail)], len(left), len(right)
+        while i and j:
+            if best[i][j] == best[i - 1][j]:
+                i -= 1
+            elif best[i][j] == best[i][j - 1]:
+                j -= 1
+            else:
+                i, j = i - 1, j - 1
+                pairs.append((head + i, head + j))
+        pairs += [(k, k) for k in range(head - 1, -1, -1)]
+        ends = sum(k.size for k in [*x.kids[:head], *x.kids[n - tail :]])
+        memo[key] = (1 + ends + best[len(left)][len(right)], pairs[::-1])
+    return memo[a.key, b.key]
+
+
+def merge(wrapper: Tree, tree: Tree, memo: dict, known: dict) -> Tree:
     """The wrapper with the tree laid over it: matched nodes are one, others are put in between."""
-    memo = {} if memo is None else memo
-    _, pairs = match(wrapper, tree, memo)
-    out, i, j = [wrapper[0]], 1, 1
-    for p, q in [*pairs, (len(wrapper), len(tree))]:
-        out += wrapper[i:p]
-        out += tree[j:q]
-        if p < len(wrapper):
-            out.append(merge(wrapper[p], tree[q], memo))
-        i, j = p + 1, q + 1
-    return out
 
+    def plan(x: Tree, y: Tree) -> list:
+        out, i, j = [], 0, 0
+        for p, q in [*match(x, y, memo)[1], (len(x.kids), len(y.kids))]:
+            out += x.kids[i:p] + y.kids[j:q]
+            if p < len(x.kids):
+                out.append((x.kids[p], y.kids[q]))
+            i, j = p + 1, q + 1
+        return out
+
+    frames = [(wrapper.label, [(wrapper, tree)], [])]
+    while True:
+        label, items, done = frames[-1]
+        if len(done) == len(items):
+            frames.pop()
+            if not frames:
+                return done[0]
+            frames[-1][2].append(Tree(label, done, known))
+            continue
+        item = items[len(done)]
+        if isinstance(item, Tree):
+            done.append(item)
+        elif item[0].key == item[1].key:
+            done.append(item[0])
+        else:
+            frames.append((item[0].label, plan(*item), []))
 
-def numbered(wrapper: list) -> dict[int, int]:
-    """The slot (preorder number) of each node, by identity."""
-    out: dict[int, int] = {}
-    todo = [wrapper]
+
+def aligned(wrapper: Tree, tree: Tree, memo: dict) -> list[int]:
+    """The slot of each node of the tree in preorder; -1 where the wrapper has none."""
+    out: list[int] = []
+    todo: list[tuple] = [(wrapper if wrapper.label == tree.label else None, 0, tree)]
     while todo:
-        node = todo.pop()
-        out[id(node)] = len(out)
-        todo += node[:0:-1]
+        over, slot, node = todo.pop()
+        if over is None:
+            out += [-1] * node.size
+            continue
+        out.append(slot)
+        places = over.places(slot)
+        to = {j: places[i] for i, j in match(over, node, memo)[1]}
+        todo += [(*to.get(j, (None, 0)), node.kids[j]) for j in range(len(node.kids) - 1, -1, -1)]
     return out
 
 
-def aligned(wrapper: list, numbers: dict[int, int], tree: list) -> list[int]:
-    """The slot of each node of the tree in preorder; -1 where the wrapper has none."""
-    memo: dict = {}
+def region(tree: Tree, mass: dict[int, int], nodes: dict[int, int], pages: dict[int, int]) -> list[tuple[int, int]]:
+    """The content region as (first slot, slot after the last) of its subtrees. mass: weight of each
+    slot's own varying text; nodes, pages: how many nodes stand in it, and on how many pages."""
+    sums = list(accumulate((mass.get(i, 0) for i in range(tree.size)), initial=0))
+    at, slot, leads = tree, 0, []
+    while at.kids:
+        places = at.places(slot)
+        weights = [sums[s + k.size] - sums[s] for k, s in places]
+        i = max(range(len(weights)), key=weights.__getitem__)
+        kid, place = places[i]
+        repeated = nodes.get(place, 0) > REPEATED * pages.get(place, 1)
+        if kid.label.split(".")[0] not in CONTAINERS or repeated or weights[i] < DOMINANT * max(sums[slot + at.size] - sums[slot], 1):
+            break
+        leads += [(s, s + k.size) for (k, s), w in zip(places[:i], weights) if w and k.label.split(".")[0] in LEADS]
+        at, slot = kid, place
+    return [*leads, (slot, slot + at.size)]
 
-    def size(node):
-        return 1 + sum(size(c) for c in node[1:])
 
-    def walk(w, t):
-        out = [numbers[id(w)]]
-        to = {j: i for i, j in match(w, t, memo)[1]}
-        for j in range(1, len(t)):
-            out += walk(w[to[j]], t[j]) if j in to else [-1] * size(t[j])
-        return out
+class Template:
+    """A host's wrapper, content region and template texts (slot, digest), ready for its pages."""
 
-    return walk(wrapper, tree) if wrapper[0] == tree[0] else [-1] * size(tree)
+    def __init__(self, wrapper: str, roots: list[int], constant):
+        self.known: dict = {}
+        self.tree, self.memo, self.slots = tree_of(wrapper, self.known), {}, {}
+        self.region = list(zip(roots[::2], roots[1::2]))
+        self.constant = set(constant)
 
+    def place(self, shape: str) -> list[int]:
+        if shape not in self.slots:
+            if len(self.slots) > 10_000:
+                self.slots.clear()
+                self.memo.clear()
+            self.slots[shape] = aligned(self.tree, tree_of(shape, self.known), self.memo)
+        return self.slots[shape]
 
-def _digest(text: str) -> int:
-    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big", signed=True)
 
+def extract(page: str, template: Template | None = None) -> list[str]:
+    """The content blocks of a page, given its host's template."""
+    nodes = parse(page)
+    shape, places = folded(nodes)
+    slots = template.place(shape) if template else [-1] * len(places)
+    constant = template.constant if template else ()
+    for slot, group in zip(slots, places):
+        for node in group:
+            node.slot = slot
 
-def _own_text(node: Node) -> str:
-    return "\n".join(t for _, t in node.texts)
+    def varies(node: Node, text: str) -> bool:
+        return not constant or (node.slot, _digest(text)) not in constant
 
+    numbers, roots = slots, template.region if template else []
+    if not roots or roots[-1][0] not in slots:  # the page's own region
+        own = [sum(_weight(n, t) for n in group for _, t in n.texts if varies(n, t)) for group in places]
+        count = {i: len(group) for i, group in enumerate(places)}
+        numbers, roots = range(len(places)), region(tree_of(shape, {}), dict(enumerate(own)), count, {})
+    out = []
+    for number, group in zip(numbers, places):
+        for node in group:  # a node that the wrapper lacks is where its parent is
+            above = node.parent is not None and node.parent.inside
+            node.inside = any(a <= number < b for a, b in roots) if number >= 0 else above
+            if node.inside and not node.gone:
+                out += [x for x in node.texts if varies(node, x[1])]
+    return [t for _, t in sorted(out)]
 
-def dropped(node: Node, in_article: bool) -> bool:
-    if node.tag in DROPPED_TAGS:
-        return True
-    if node.tag in ("html", "body", "main", "article"):
-        return False
-    if node.names & DROPPED_NAMES:
-        return True
-    return not in_article and (node.tag == "header" or "header" in node.names and not node.names & {"article", "entry", "post"})
-
-
-def extract(page: str, wrapper: list | None = None, numbers: dict | None = None, constant: set | None = None, memo: dict | None = None) -> list[str]:
-    """The content blocks of a page, given its host's wrapper and constant (slot, digest) pairs."""
-    root, _ = parse(page)
-    template: set[int] = set()
-    if constant:
-        shape = folded(root)
-        memo = {} if memo is None else memo
-        if shape not in memo:
-            memo[shape] = aligned(wrapper, numbers, json.loads(shape))
-        for slot, nodes in zip(memo[shape], slots_of([root])):
-            template.update(id(n) for n in nodes if n.texts and (slot, _digest(_own_text(n))) in constant)
-
-    main = False
-
-    def blocks(node, in_article, inside):
-        nonlocal main
-        if dropped(node, in_article):
-            return []
-        main = main or node.tag == "main"
-        inside = inside or node.tag in ("article", "main")
-        in_article = inside or in_article or "main" == node.name
-        out = [(i, t, id(node) in template, inside) for i, t in node.texts]
-        for c in node.children:
-            out += blocks(c, in_article, inside)
-        return out
 
-    def size(some):
-        return sum(len(b[1]) for b in some)
+# ---------------------------------------------------------------- hosts
 
-    found = sorted(blocks(root, False, False))
-    core = [b for b in found if b[3]]
-    if not constant:
-        return [b[1] for b in (core if core and (main or size(core) * 2 >= size(found)) else found)]
-    kept = [b for b in found if not b[2]]
-    # A page whose content most other pages of its host share as well is kept whole.
-    core = core or found
-    if size(kept) * 2 < size(core):
-        kept = sorted({*kept, *core})
-    return [b[1] for b in kept]
 
+def host_column(url="url"):
+    return F.coalesce(F.lower(F.regexp_extract(url, _HOST, 1)), F.lit(""))
 
-def host(url: str | None) -> str:
-    m = _HOST.match(url or "")
-    return m[1].lower() if m else ""
 
+def induce(pages: DataFrame) -> DataFrame:
+    """host, pages (distinct ones), wrapper (its shape), roots (first and last slots of the region, in
+    turn) and constant (array of slot, digest) of every host of two pages or more. pages: url, html."""
 
-def induce(pages: DataFrame, salts: int = 16, share: float = 0.5, least: int = 3) -> DataFrame:
-    """host, wrapper (JSON tree) and constant array<struct<slot, digest>> of every host."""
+    found_schema = "host string, shape string, copy long, width array<int>, texts array<array<long>>, mass array<array<int>>"
 
     def digest(batches):
+        arrow = pa.schema([
+            ("host", pa.string()), ("shape", pa.string()), ("copy", pa.int64()), ("width", pa.list_(pa.int32())),
+            ("texts", pa.list_(pa.list_(pa.int64()))), ("mass", pa.list_(pa.list_(pa.int32()))),
+        ])
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 rows = []
-                for url, page in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
-                    root, _ = parse(page or "")
-                    shape = folded(root)
-                    texts = [sorted({_digest(_own_text(n)) for n in nodes if n.texts}) for nodes in slots_of([root])]
-                    rows.append({"host": host(url), "shape": shape, "texts": texts})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("shape", pa.string()), ("texts", pa.list_(pa.list_(pa.int64())))]))
-
-    found = pages.select("url", "html").mapInArrow(digest, "host string, shape string, texts array<array<long>>")
+                for host, page in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                    nodes = parse(page or "")
+                    shape, places = folded(nodes)
+                    once = [{_digest(t): _weight(n, t) for n in group for _, t in n.texts} for group in places]
+                    longest = max((t for n in nodes if not n.gone for _, t in n.texts), key=len, default="")
+                    rows.append({
+                        "host": host, "shape": shape, "copy": _digest(longest), "width": [len(g) for g in places],
+                        "texts": [list(x) for x in once], "mass": [list(x.values()) for x in once],
+                    })
+                yield pa.RecordBatch.from_pylist(rows, arrow)
+
+    found = pages.select(host_column().alias("host"), "html").mapInArrow(digest, found_schema)
     found = stash(found.distinct(), "shapes")  # equal pages count once
-    shapes = found.groupBy("host", "shape").count()
+    shapes = found.groupBy("host", "shape").agg(F.count("*").alias("pages"))
+    counts = shapes.groupBy("host").agg(F.ceil(F.count("*") / FAN).alias("groups"))
+    shapes = shapes.join(counts, "host").withColumn("salt", F.pmod(F.xxhash64("shape"), F.col("groups")))
+    shapes = stash(shapes, "salted")
 
-    def merged(column):
-        def run(key, table):
-            out = None
-            order = sorted(zip(table.column("count").to_pylist(), table.column(column).to_pylist()), key=lambda x: (-x[0], x[1]))
-            for _, tree in order:
-                out = json.loads(tree) if out is None else merge(out, json.loads(tree))
-            return pa.table({"host": [key[0].as_py()], "wrapper": [json.dumps(out, ensure_ascii=False)], "count": pa.array([sum(n for n, _ in order)], pa.int64())})
+    def merged(key, table):
+        known: dict = {}
+        out, memo = None, {}
+        order = sorted(zip(table.column("pages").to_pylist(), table.column("shape").to_pylist()), key=lambda x: (-x[0], x[1]))
+        for _, shape in order:
+            tree = tree_of(shape, known)
+            out = tree if out is None else merge(out, tree, memo, known)
+        return pa.table({"host": [key[0].as_py()], "shape": [shape_of(out)], "pages": pa.array([sum(n for n, _ in order)], pa.int64())})
+
+    parts = shapes.groupBy("host", "salt").applyInArrow(merged, "host string, shape string, pages long")
+    while True:
+        parts = stash(parts, "wrappers")
+        several = parts.groupBy("host").agg(F.count("*").alias("n"))
+        if (several.agg(F.max("n")).head()[0] or 0) <= 1:
+            break
+        salt = F.pmod(F.xxhash64("shape"), F.ceil(F.col("n") / FAN))
+        parts = parts.join(several, "host").withColumn("salt", salt).groupBy("host", "salt").applyInArrow(merged, "host string, shape string, pages long")
+    wrappers = parts.where("pages >= 2").select("host", F.col("shape").alias("wrapper"), "pages")
+
+    def place(key, table, wrapper):
+        known, memo = {}, {}
+        names = table.column("shape").to_pylist()
+        if not names or not wrapper.num_rows:
+            names, slots = [], []
+        else:
+            tree = tree_of(wrapper.column("wrapper")[0].as_py(), known)
+            slots = [aligned(tree, tree_of(s, known), memo) for s in names]
+        host = [key[0].as_py()] * len(names)
+        return pa.table({"host": pa.array(host, pa.string()), "shape": pa.array(names, pa.string()), "slots": pa.array(slots, pa.list_(pa.int32()))})
+
+    # A wrapper meets its host's shapes once for each group of them.
+    salted = wrappers.join(counts, "host").select("host", "wrapper", F.explode(F.sequence(F.lit(0).cast("long"), F.col("groups") - 1)).alias("salt"))
+    slots = shapes.groupBy("host", "salt").cogroup(salted.groupBy("host", "salt")).applyInArrow(place, "host string, shape string, slots array<int>")
+    held = found.join(slots, ["host", "shape"])
+    held = held.select("host", "copy", F.explode(F.arrays_zip("slots", "width", "texts", "mass")).alias("x")).select("host", "copy", "x.*").where("slots >= 0")
+    seen = held.groupBy("host", "slots").agg(
+        F.count("*").alias("on"), F.sum("width").alias("nodes"), F.count_distinct(F.when(F.size("texts") > 0, F.col("copy"))).alias("copies")
+    )
+    texts = held.select("host", "slots", "copy", F.explode(F.arrays_zip("texts", "mass")).alias("x")).select("host", "slots", "copy", "x.*")
+    texts = texts.groupBy("host", "slots", "texts").agg(F.count_distinct("copy").alias("n"), F.sum("mass").alias("mass"))
+    texts = texts.join(seen.select("host", "slots", "copies"), ["host", "slots"])
+    same = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("copies"))
+    # The template texts of a slot are at most 1 / SHARE times as many as its texts on a page.
+    texts = texts.groupBy("host", "slots").agg(F.sum(F.when(~same, F.col("mass"))).alias("mass"), F.collect_list(F.when(same, F.col("texts"))).alias("constant"))
+    stats = seen.join(texts, ["host", "slots"], "left").select("host", F.struct("slots", "on", "nodes", "mass", "constant").alias("x"))
+    stats = stats.groupBy("host").agg(F.collect_list("x").alias("stats"))  # a row for each node of the wrapper
+
+    def choose(batches):
+        for batch in batches:
+            rows = []
+            for host, n, wrapper, stats in zip(*(c.to_pylist() for c in batch.columns)):
+                mass, nodes, on = ({x["slots"]: x[k] or 0 for x in stats} for k in ("mass", "nodes", "on"))
+                roots = [i for r in region(tree_of(wrapper, {}), mass, nodes, on) for i in r]
+                constant = [{"slot": x["slots"], "digest": d} for x in stats for d in x["constant"] or ()]
+                rows.append({"host": host, "pages": n, "wrapper": wrapper, "roots": roots, "constant": constant})
+            yield pa.RecordBatch.from_pylist(rows, pa.schema([
+                ("host", pa.string()), ("pages", pa.int64()), ("wrapper", pa.string()), ("roots", pa.list_(pa.int32())),
+                ("constant", pa.list_(pa.struct([("slot", pa.int32()), ("digest", pa.int64())]))),
+            ]))
 
-        return run
+    out = wrappers.join(stats, "host").select("host", "pages", "wrapper", "stats").mapInArrow(
+        choose, "host string, pages long, wrapper string, roots array<int>, constant array<struct<slot:int,digest:long>>"
+    )
+    return stash(out, "templates")
 
-    parts = shapes.withColumn("salt", F.pmod(F.xxhash64("shape"), F.lit(salts)))
-    parts = parts.groupBy("host", "salt").applyInArrow(merged("shape"), "host string, wrapper string, count long")
-    wrappers = stash(parts.groupBy("host").applyInArrow(merged("wrapper"), "host string, wrapper string, count long").drop("count"), "wrappers")
 
-    def places(batches):
-        last, tree, numbers = None, None, None
-        for batch in batches:
-            rows = []
-            for h, shape, wrapper in zip(*(c.to_pylist() for c in batch.columns)):
-                if wrapper != last:
-                    last, tree = wrapper, json.loads(wrapper)
-                    numbers = numbered(tree)
-                rows.append({"host": h, "shape": shape, "slots": aligned(tree, numbers, json.loads(shape))})
-            yield pa.RecordBatch.from_pylist(rows, pa.schema([("host", pa.string()), ("shape", pa.string()), ("slots", pa.list_(pa.int32()))]))
-
-    slots = shapes.select("host", "shape").join(wrappers, "host").select("host", "shape", "wrapper")
-    slots = slots.mapInArrow(places, "host string, shape string, slots array<int>")
-    held = found.join(slots, ["host", "shape"]).select("host", F.explode(F.arrays_zip("slots", "texts")).alias("x"))
-    held = held.select("host", "x.slots", "x.texts").where("size(texts) > 0 and slots >= 0")
-    counts = held.withColumn("texts", F.explode("texts")).groupBy("host", "slots", "texts").count()
-    pages_with = held.groupBy("host", "slots").agg(F.count("*").alias("n"))
-    constant = counts.where(F.col("count") >= least).join(pages_with, ["host", "slots"]).where(F.col("count") >= share * F.col("n"))
-    constant = constant.groupBy("host").agg(F.collect_list(F.struct(F.col("slots").alias("slot"), F.col("texts").alias("digest"))).alias("constant"))
-    return stash(wrappers.join(constant, "host", "left"), "templates")
-
-
-def main_text(pages: DataFrame) -> DataFrame:
+def _batch(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.string())), ("text", pa.string())]))
+
+
+def _template(row) -> Template:
+    return Template(row["wrapper"], row["roots"], [(c["slot"], c["digest"]) for c in row["constant"]])
+
+
+def main_text(pages: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """page_id, url, text and blocks (array of the content blocks) of every page."""
-    templates = induce(pages)
+    spark, templates = pages.sparkSession, induce(pages)
+    out = "page_id long, url string, blocks array<string>, text string"
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", host_column().alias("host"))
+
+    def row(page_id, url, page, template):
+        blocks = extract(page or "", template)
+        return {"page_id": page_id, "url": url, "blocks": blocks, "text": "\n".join(blocks)}
+
+    size = F.length("wrapper") + 24 * F.size("constant") + 8 * F.size("roots") + F.length("host") + 100
+    if (templates.agg(F.sum(size)).head()[0] or 0) <= broadcast_bytes:
+        shared = spark.sparkContext.broadcast({r["host"]: r.asDict(True) for r in templates.toLocalIterator()})
+
+        def run(batches):
+            known: dict[str, Template] = {}
+            for batch in batches:
+                for at in range(0, batch.num_rows, 64):
+                    done = []
+                    for page_id, url, page, host in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
+                        if host not in known and host in shared.value:
+                            if len(known) > 200:
+                                known.clear()
+                            known[host] = _template(shared.value[host])
+                        done.append(row(page_id, url, page, known.get(host)))
+                    yield _batch(done)
 
-    def run(batches):
-        known: dict = {}
+        return rows.mapInArrow(run, out)
+
+    def sorted_run(batches):
+        host, template = None, None
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
-                rows = []
-                for page_id, url, page, wrapper, constant in zip(*(c.to_pylist() for c in batch.slice(at, 64).columns)):
-                    if not constant:
-                        blocks = extract(page or "")
+                done = []
+                for r in batch.slice(at, 64).to_pylist():
+                    if r["first"]:
+                        host, template = r["host"], _template(r)
                     else:
-                        if wrapper not in known:
-                            if len(known) > 100:
-                                known.clear()
-                            tree = json.loads(wrapper)
-                            known[wrapper] = (tree, numbered(tree), {(c["slot"], c["digest"]) for c in constant}, {})
-                        blocks = extract(page or "", *known[wrapper])
-                    rows.append({"page_id": page_id, "url": url, "blocks": blocks, "text": "\n".join(blocks)})
-                yield pa.RecordBatch.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("blocks", pa.list_(pa.string())), ("text", pa.string())]))
-
-    at_host = F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1)), F.lit(""))
-    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", at_host.alias("host"))
-    rows = rows.join(templates, "host", "left").select("page_id", "url", "html", "wrapper", "constant")
-    return rows.mapInArrow(run, "page_id long, url string, blocks array<string>, text string")
+                        done.append(row(r["page_id"], r["url"], r["html"], template if r["host"] == host else None))
+                yield _batch(done)
+
+    salts = templates.select("host", F.ceil(F.col("pages") / HOST_PAGES).alias("salts"))
+    rows = rows.join(salts, "host", "left").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("salts", F.lit(1)))).drop("salts")
+    first = templates.join(salts, "host").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1))).drop("salts", "pages")
+    both = rows.withColumn("first", F.lit(False)).unionByName(first.withColumn("first", F.lit(True)), allowMissingColumns=True)
+    both = both.repartition("host", "salt").sortWithinPartitions("host", "salt", F.desc("first"))
+    return both.mapInArrow(sorted_run, out)
