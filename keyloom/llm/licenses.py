@@ -1,19 +1,17 @@
-"""License scans by an exact set-similarity join of text blocks (lines) with license templates.
+"""License scans by an exact set-similarity join of text blocks with license templates.
 
-A block matches a template if it holds at least THRESHOLD of the template's distinct words.
-Template words are ordered by how many blocks of the whole corpus hold them, rare ones first. A
-matching block holds one of the first |T| - need + 1 of them (prefix filter), has at least `need`
-words (length filter), and from the place of its first prefix word on, enough words are left
-(positional filter). What remains is counted exactly, so every matching block is found.
-
-A notice that is wrapped over lines is found by a window over the words of a paragraph (lines with
-words, one after the other): at least THRESHOLD of the template's distinct words among STRETCH times
-as many words in sequence as the template has, not all on one line. Each matching line and window
-that holds the words of its template that name the licence (TELLING) is a notice; `matches` and the
-SQL of op10 know lines alone, and count the telling words like any other.
+A block for a template is any run of STRETCH times as many consecutive words of a text as the
+template has, so a notice is found however its lines are wrapped. A block matches if it holds at
+least THRESHOLD of the template's distinct words, among them those that tell the licence. Template
+words are ordered by how many texts of the whole corpus hold them, rare ones first. A matching block
+holds one of the first |T| - need + 1 of them (prefix and positional filter: after a later one too
+few are left), and lies in a text of at least `need` words (length filter), so only the surroundings
+of such words are looked at. What remains is counted exactly, so every matching block is found. Of
+matching blocks that overlap, the first of those that hold most is reported.
 
 A null text is an empty text: no words, no places, empty labels, score 0. Rows with null or
-repeated doc_id are rows like any other. Other columns are not looked at."""
+repeated doc_id are rows like any other; an empty table gives no rows. Words equally frequent are
+ordered by themselves. Other columns are not looked at."""
 
 from __future__ import annotations
 
@@ -26,48 +24,69 @@ from keyloom.llm.shared import ALNUM, Words, text_chunks
 
 #: Phrases whose places are counted, and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: Notices that licenses are known by, in words of lower case; (label, words).
+# Sentences that licenses are known by, in words of lower case: (label, words, words
+# that a notice must hold).
 TEMPLATES = [
-    ("apache", "licensed under the apache license version 2 0"),
-    ("apache", "you may not use this file except in compliance with the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
-    ("cc", "licensed under a creative commons attribution license"),
-    ("gpl", "licensed under the gnu general public license"),
-    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted"),
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    ("mpl", "subject to the terms of the mozilla public license"),
+    ("agpl", "gnu affero general public license as published by the free software foundation", "affero"),
+    ("agpl", "spdx license identifier agpl 3 0", "spdx agpl"),
+    ("apache", "licensed under the apache license version 2 0", "apache"),
+    ("apache", "you may not use this file except in compliance with the license", ""),
+    ("apache", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis", ""),
+    ("apache", "spdx license identifier apache 2 0", "spdx apache"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", ""),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ""),
+    ("bsd", "spdx license identifier bsd 3 clause", "spdx bsd"),
+    ("bsd", "licensed under the bsd license", "bsd"),
+    ("cc", "licensed under a creative commons attribution license", "creative commons"),
+    ("cc", "licensed under cc by 4 0", "cc"),
+    ("cc", "licensed under cc by sa 4 0", "cc"),
+    ("cc", "licensed under cc by nc 4 0", "cc"),
+    ("cc0", "waived all copyright and related or neighboring rights to this work", "waived neighboring"),
+    ("epl", "made available under the terms of the eclipse public license", "eclipse"),
+    ("gpl", "licensed under the gnu general public license", ""),
+    ("gpl", "you can redistribute it and or modify it under the terms of the gnu general public license", ""),
+    ("gpl", "spdx license identifier gpl 2 0", "spdx gpl"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose is hereby granted", ""),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license", "lesser"),
+    ("lgpl", "spdx license identifier lgpl 2 1", "spdx lgpl"),
+    ("mit", "released under the mit license", "mit"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", ""),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ""),
+    ("mit", "spdx license identifier mit", "spdx mit"),
+    ("mpl", "subject to the terms of the mozilla public license", "mozilla"),
+    ("mpl", "spdx license identifier mpl 2 0", "spdx mpl"),
+    ("unlicense", "this is free and unencumbered software released into the public domain", "unencumbered"),
+    ("zlib", "in no event will the authors be held liable for any damages arising from the use of this software", ""),
 ]
 THRESHOLD = (8, 10)
-#: Words that tell one licence from another; a notice must hold those of its template.
-TELLING = {"apache", "commons", "creative", "mit", "mozilla"}
-#: Words in sequence that a wrapped notice may take, as a multiple of its template's.
+#: Words of a block, as a multiple of the template's.
 STRETCH = 2
 
 
-class _Vocabulary:
-    """Words of templates and phrases by hash; which template has which word."""
+class Vocabulary:
+    """Words of templates and phrases by hash; which template has which word; need: the distinct words
+    that a block must hold; spans: the words of a block."""
 
-    def __init__(self, templates, phrases, threshold):
-        self.sets = [sorted(set(t.split())) for _, t in templates]
-        self.spans = [STRETCH * len(t.split()) for _, t in templates]
-        self.labels = [label for label, _ in templates]
+    def __init__(self, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD):
+        self.sets = [sorted(set(t.split())) for _, t, _ in templates]
+        self.spans = [STRETCH * len(t.split()) for _, t, _ in templates]
+        self.labels = [label for label, _, _ in templates]
         self.phrases = [(p.split(), label) for p, label in phrases.items()]
         self.words = sorted({w for s in self.sets for w in s} | {w for p, _ in self.phrases for w in p})
         raw = "\n".join(self.words).encode()
-        ends = np.cumsum([len(w.encode()) + 1 for w in self.words])
         hashes = Words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), ALNUM).hashes()
-        assert len(ends) == len(hashes)
+        assert len(self.words) == len(hashes)
         self.order = np.argsort(hashes)
         self.hashes = hashes[self.order]
+        place = {w: i for i, w in enumerate(self.words)}
         self.has = np.zeros((len(self.words), len(self.sets)), bool)
+        self.telling = np.zeros_like(self.has)
         for t, s in enumerate(self.sets):
-            self.has[[self.words.index(w) for w in s], t] = True
+            self.has[[place[w] for w in s], t] = True
+            self.telling[[place[w] for w in templates[t][2].split()], t] = True
+        assert (self.has >= self.telling).all()
         self.size = self.has.sum(0)
-        self.telling = self.has & np.isin(self.words, sorted(TELLING))[:, None]
-        num, den = threshold
-        self.need = -(-num * self.size // den)
+        self.need = -(-threshold[0] * self.size // threshold[1])
 
     def ids(self, words: Words) -> np.ndarray:
         """The place of each word in self.words, or -1."""
@@ -75,98 +94,87 @@ class _Vocabulary:
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
         return np.where(self.hashes[at] == h, self.order[at], -1)
 
+    def prefixes(self, counts: np.ndarray) -> np.ndarray:
+        """Which words are in the prefix of which template, given how many texts hold each word."""
+        rank = np.empty(len(counts), np.int64)
+        rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+        out = np.zeros_like(self.has)
+        for t in range(len(self.sets)):
+            own = np.flatnonzero(self.has[:, t])
+            out[own[np.argsort(rank[own])][: self.size[t] - self.need[t] + 1], t] = True
+        return out
 
-def _blocks(words: Words) -> np.ndarray:
-    """Number of the line (over all texts of the run) that each word is in."""
-    ends = np.union1d(np.flatnonzero(words.data == 10), words.offsets[1:] - 1)
-    return np.searchsorted(ends, words.start)
-
-
-def _held(block: np.ndarray, ids: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct (block, vocabulary word) pairs."""
-    some = ids >= 0
-    return np.divmod(np.unique(block[some] * size + ids[some]), size)
-
-
-def _wrapped(words: Words, block: np.ndarray, ids: np.ndarray, vocabulary: _Vocabulary) -> list[tuple[int, int, int, int]]:
-    """(template, first word, last word, distinct words held) of the notices wrapped over lines; of
-    windows that overlap, the first of those that hold most."""
-    at = np.flatnonzero(ids >= 0)
-    fresh = np.ones(len(ids), bool)
-    fresh[1:] = (np.diff(words.doc) > 0) | (np.diff(block) > 1)
-    paragraph = np.maximum.accumulate(np.where(fresh, np.arange(len(ids)), 0))[at]
-    last = {}
-    for w in np.unique(ids[at]):
-        last[w] = np.maximum.accumulate(np.where(ids[at] == w, at, -1))
-    out = []
-    for t, span in enumerate(vocabulary.spans):
-        own = [w for w in np.flatnonzero(vocabulary.has[:, t]) if w in last]
-        if len(own) < vocabulary.need[t]:
-            continue
-        begin = np.maximum(paragraph, at - span + 1)
-        seen = np.stack([last[w] for w in own])
-        inside = seen >= begin
-        told = inside[[i for i, w in enumerate(own) if vocabulary.telling[w, t]]].sum(0) == vocabulary.telling[:, t].sum()
-        held, first = inside.sum(0), np.where(inside, seen, len(ids)).min(0)
-        kept: list[tuple[int, int, int, int]] = []
-        for i in np.flatnonzero(told & (held >= vocabulary.need[t]) & vocabulary.has[ids[at], t]):
-            if block[first[i]] == block[at[i]]:
-                continue
-            if not kept or first[i] > kept[-1][2]:
-                kept.append((t, int(first[i]), int(at[i]), int(held[i])))
-            elif held[i] > kept[-1][3]:
-                kept[-1] = (t, int(first[i]), int(at[i]), int(held[i]))
-        out += kept
-    return out
 
-
-def block_counts(docs: DataFrame, vocabulary: _Vocabulary) -> np.ndarray:
-    """How many blocks of the corpus hold each word of the vocabulary: one number a word."""
+def word_counts(docs: DataFrame, v: Vocabulary) -> np.ndarray:
+    """How many texts of the corpus hold each word of the vocabulary."""
 
     def count(batches):
-        total = np.zeros(len(vocabulary.words), np.int64)
+        total = np.zeros(len(v.words), np.int64)
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.column(0)):
                 words = Words(data, offsets, ALNUM)
-                total += np.bincount(_held(_blocks(words), vocabulary.ids(words), len(total))[1], minlength=len(total))
+                ids = v.ids(words)
+                some = ids >= 0
+                held = np.unique(words.doc[some] * len(total) + ids[some]) % len(total)
+                total += np.bincount(held, minlength=len(total))
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["word", "n"])
 
     parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "word long, n long")
-    total = np.zeros(len(vocabulary.words), np.int64)
+    total = np.zeros(len(v.words), np.int64)
     for word, n in parts.groupBy("word").agg(F.sum("n")).collect():  # a row for each vocabulary word
         total[word] = n
     return total
 
 
-def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD) -> DataFrame:
-    """A row for each row of docs: doc_id, n_words, places array<struct<label, word>> of the
-    phrases, matches array<struct<label, template, block, containment>> of the templates by line,
-    notices array<struct<label, template, block, blocks, containment>> of them by line and by the
-    lines they are wrapped over; word and block count from 0 within the text."""
-    v = _Vocabulary(templates, phrases, threshold)
-    counts = block_counts(docs, v)
-    n_words, n_templates = v.has.shape
-    rank = np.empty(n_words, np.int64)
-    rank[np.lexsort((np.arange(n_words), counts))] = np.arange(n_words)
-    left = np.zeros((n_words, n_templates), np.int64)  # template words from this one on; 0: not in the prefix
-    for t in range(n_templates):
+def notices(words: Words, ids: np.ndarray, v: Vocabulary, prefix: np.ndarray) -> list[tuple[int, int, int, int]]:
+    """(template, first word, last word, distinct words held) of the matching blocks of a run of texts."""
+    hit = np.flatnonzero(ids >= 0)
+    kind, out = ids[hit], []
+    for t, (span, need) in enumerate(zip(v.spans, v.need)):
+        rare = hit[prefix[kind, t]]
+        if not len(rare):
+            continue
+        mine = v.has[kind, t]
+        at, of = hit[mine], kind[mine]
+        after = np.searchsorted(rare, at)
+        near = (rare[np.minimum(after, len(rare) - 1)] - at < span) & (after < len(rare))
+        near |= (at - rare[np.maximum(after - 1, 0)] < span) & (after > 0)
+        begin = words.of[words.doc[at]]
+        near &= words.of[words.doc[at] + 1] - begin >= need
+        at, of, begin = at[near], of[near], np.maximum(begin[near], at[near] - span + 1)
+        if len(at) < need:
+            continue
         own = np.flatnonzero(v.has[:, t])
-        own = own[np.argsort(rank[own])][: v.size[t] - v.need[t] + 1]
-        left[own, t] = v.size[t] - np.arange(len(own))
+        last = np.stack([np.maximum.accumulate(np.where(of == w, at, -1)) for w in own])
+        inside = last >= begin
+        told = inside[v.telling[own, t]].all(0)
+        held, first = inside.sum(0), np.where(inside, last, len(ids)).min(0)
+        kept: list[tuple[int, int, int, int]] = []
+        for i in np.flatnonzero(told & (held >= need)):
+            if not kept or first[i] > kept[-1][2]:
+                kept.append((t, int(first[i]), int(at[i]), int(held[i])))
+            elif held[i] > kept[-1][3]:
+                kept[-1] = (t, int(first[i]), int(at[i]), int(held[i]))
+        out += kept
+    return out
 
+
+def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESHOLD) -> DataFrame:
+    """A row for each row of docs: doc_id, n_words, places array<struct<label, word>> of the phrases,
+    notices array<struct<label, template, word, words, containment>> of the templates: first word and
+    number of words, counted from 0 within the text."""
+    v = Vocabulary(templates, phrases, threshold)
+    prefix = v.prefixes(word_counts(docs, v))
     place = pa.struct([("label", pa.string()), ("word", pa.int64())])
-    match = pa.struct([("label", pa.string()), ("template", pa.int32()), ("block", pa.int64()), ("containment", pa.float64())])
-    notice = pa.struct([("label", pa.string()), ("template", pa.int32()), ("block", pa.int64()), ("blocks", pa.int64()), ("containment", pa.float64())])
+    notice = pa.struct([("label", pa.string()), ("template", pa.int32()), ("word", pa.int64()), ("words", pa.int64()), ("containment", pa.float64())])
 
     def run(batches):
         for batch in batches:
             for first, last, data, offsets in text_chunks(batch.column(1)):
                 words = Words(data, offsets, ALNUM)
-                ids, block = v.ids(words), _blocks(words)
+                ids = v.ids(words)
                 places: list[list] = [[] for _ in range(last - first)]
-                matches: list[list] = [[] for _ in range(last - first)]
-                notices: list[list] = [[] for _ in range(last - first)]
-                whole = set()
+                found: list[list] = [[] for _ in range(last - first)]
                 for phrase, label in v.phrases:
                     k = len(phrase)
                     if len(ids) < k:
@@ -177,53 +185,18 @@ def scan(docs: DataFrame, templates=TEMPLATES, phrases=PHRASES, threshold=THRESH
                     for i in np.flatnonzero(here):
                         d = words.doc[i]
                         places[d].append({"label": label, "word": int(i - words.of[d])})
-                held_block, held_word = _held(block, ids, n_words)
-                probe = left[held_word]
-                some = probe.any(1)
-                in_block = np.bincount(block, minlength=int(block[-1]) + 1 if len(block) else 0)
-                long_enough = in_block[held_block[some]][:, None] >= v.need
-                pairs = np.unique(np.stack([
-                    (held_block[some][:, None] * n_templates + np.arange(n_templates))[(probe[some] >= v.need) & long_enough]
-                ]))
-                if len(pairs):
-                    cand, template = np.divmod(pairs, n_templates)
-                    kept = np.unique(cand)
-                    inside = np.isin(held_block, kept)
-                    overlap = np.zeros((len(kept), n_templates), np.int64)
-                    telling = np.zeros((len(kept), n_templates), np.int64)
-                    np.add.at(overlap, np.searchsorted(kept, held_block[inside]), v.has[held_word[inside]])
-                    np.add.at(telling, np.searchsorted(kept, held_block[inside]), v.telling[held_word[inside]])
-                    got = overlap[np.searchsorted(kept, cand), template]
-                    ok = got >= v.need[template]
-                    told = telling[np.searchsorted(kept, cand), template] == v.telling.sum(0)[template]
-                    first_word = np.searchsorted(block, cand[ok])
-                    for b, t, n, w, sure in zip(cand[ok], template[ok], got[ok], first_word, told[ok]):
-                        d = words.doc[w]
-                        lines = int((words.data[offsets[d] : words.start[w]] == 10).sum())
-                        matches[d].append({"label": v.labels[t], "template": int(t), "block": lines, "containment": float(n / v.size[t])})
-                        if not sure:
-                            continue
-                        whole.add((t, b))
-                        notices[d].append(matches[d][-1] | {"blocks": 1})
-                for t, begin, end, n in _wrapped(words, block, ids, v):
-                    if any((t, b) in whole for b in range(block[begin], block[end] + 1)):
-                        continue  # a line of it matches alone
+                for t, begin, end, n in notices(words, ids, v, prefix):
                     d = words.doc[begin]
-                    lines = int((words.data[offsets[d] : words.start[begin]] == 10).sum())
-                    notices[d].append({
-                        "label": v.labels[t], "template": t, "block": lines, "blocks": int(block[end] - block[begin]) + 1, "containment": float(n / v.size[t]),
-                    })
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        batch.column(0).slice(first, last - first), pa.array(np.diff(words.of)),
-                        pa.array(places, pa.list_(place)), pa.array(matches, pa.list_(match)), pa.array(notices, pa.list_(notice)),
-                    ],
-                    ["doc_id", "n_words", "places", "matches", "notices"],
-                )
+                    found[d].append({
+                        "label": v.labels[t], "template": t, "word": int(begin - words.of[d]), "words": end - begin + 1,
+                        "containment": float(n / v.size[t]),
+                    })
+                columns = [batch.column(0).slice(first, last - first), pa.array(np.diff(words.of))]
+                columns += [pa.array(places, pa.list_(place)), pa.array(found, pa.list_(notice))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_words", "places", "notices"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(
         run,
         "doc_id long, n_words long, places array<struct<label:string,word:long>>, "
-        "matches array<struct<label:string,template:int,block:long,containment:double>>, "
-        "notices array<struct<label:string,template:int,block:long,blocks:long,containment:double>>",
+        "notices array<struct<label:string,template:int,word:long,words:long,containment:double>>",
     )
