@@ -8,9 +8,16 @@ Labels of 0 are never used as examples; the prior is a parameter, or the share o
 the usable labels. Features: presence of hashed words and of their first 4 and 6 bytes, those that
 P has at least LIFT times as often as U and by more than SIGMAS standard deviations of chance.
 
-Training reads at most `rows` toxic and U_FOR_P * `rows` unlabelled texts (a documented bound); scoring streams over all
-rows with one small table. A null text is an empty text. Without toxic examples scores are the
-prior. Rows with null ids are scored and are not held out. Repeated rows get equal scores."""
+Training reads at most `rows` confirmed texts and `unlabelled_rows` others, chosen by hash of the id
+(documented bounds, both parameters; the others only say how common a feature is, so that more of
+them sharpen its frequency and no more: the README has the recall with several). The model has every
+feature that passes, there is no limit to their number; the driver holds the numbers of the features
+that each sampled text has. Scoring streams over all rows with one small table.
+
+A null text is an empty text. Without toxic examples scores are the prior. Rows with null ids are
+scored and are not held out, and no training text. Repeated rows get equal scores; a repeated label
+row counts as one more example. An empty table trains on nothing and gives no rows. The score column
+replaces one of the same name."""
 
 from __future__ import annotations
 
@@ -21,12 +28,11 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.labelled import remainder, sample, unlabelled
 from keyloom.llm.quality import add_scores
-from keyloom.llm.shared import ALNUM, Words, stash, text_chunks, unstash
+from keyloom.llm.shared import ALNUM, Words, mix, stash, text_chunks, unstash
 
 TRAIN_ROWS = 4_000
-#: Unlabelled texts for each confirmed one that may be sampled.
-U_FOR_P = 3
-PRIOR, LIFT, SIGMAS, MOST_FEATURES = 0.1, 3.0, 5.0, 20_000
+UNLABELLED_ROWS = 12_000
+PRIOR, LIFT, SIGMAS = 0.1, 3.0, 5.0
 STEPS, RATE, DECAY = 300, 0.1, 1e-3
 BEGINNINGS = (None, 4, 6)
 _TABLE = 1 << 20
@@ -64,9 +70,9 @@ class Toxic:
 
 
 def _distinct(texts: pa.Array, model: Toxic | None):
-    """(first row, row, feature) of each run: distinct hashes of each text, or those of a model as
+    """(rows, row, feature) of each run: distinct hashes of each text, or those of a model as
     their places in it."""
-    for first, _, data, offsets in text_chunks(texts):
+    for first, last, data, offsets in text_chunks(texts):
         row, h = present(data, offsets)
         if model is not None:
             row, h = model.found(row, h)
@@ -75,7 +81,7 @@ def _distinct(texts: pa.Array, model: Toxic | None):
             row, h = row[order], h[order]
             new = np.append(True, (row[1:] != row[:-1]) | (h[1:] != h[:-1]))[: len(row)]
             row, h = row[new], h[new]
-        yield first, row, h
+        yield last - first, row, h
 
 
 def _counts(texts: DataFrame, model: Toxic | None) -> DataFrame:
@@ -106,17 +112,17 @@ def choose_features(p: DataFrame, u: DataFrame, n_p: int, n_u: int) -> np.ndarra
     usual = n_p * (in_u + 1) / n_u  # expected in P if P were like U
     lift = in_p / usual
     good = np.flatnonzero((in_p - usual >= SIGMAS * np.sqrt(usual + 1)) & (lift >= LIFT))
-    return hashes[np.sort(good[np.argsort(-in_p[good] * np.log(lift[good]), kind="stable")][:MOST_FEATURES])]
+    return hashes[good]
 
 
-def fit(p: list[list[int]], u: list[list[int]], hashes: np.ndarray, prior: float) -> Toxic:
-    """p, u: the features (places in hashes) that each text has."""
+def fit(p: tuple[np.ndarray, np.ndarray], u: tuple[np.ndarray, np.ndarray], hashes: np.ndarray, prior: float) -> Toxic:
+    """p, u: how many features each text has, and their places in hashes, one text after the other."""
     base = float(np.log(prior / (1 - prior)))
-    n_p, n_u = len(p), len(u)
+    n_p, n_u = len(p[0]), len(u[0])
     if not n_p or not n_u or not len(hashes):
         return Toxic(np.zeros(0, np.uint64), np.zeros(0), base)
-    row = np.repeat(np.arange(n_p + n_u), [len(x) for x in [*p, *u]])
-    column = np.array([c for x in [*p, *u] for c in x], np.int64)
+    row = np.repeat(np.arange(n_p + n_u), np.concatenate([p[0], u[0]]))
+    column = np.concatenate([p[1], u[1]]).astype(np.int64)
     is_p = np.arange(n_p + n_u) < n_p
     w, b = np.zeros(len(hashes)), base
     m, s = np.zeros(len(hashes) + 1), np.zeros(len(hashes) + 1)
@@ -136,24 +142,31 @@ def fit(p: list[list[int]], u: list[list[int]], hashes: np.ndarray, prior: float
     return Toxic(hashes, w, float(b))
 
 
-def _lists(texts: DataFrame, hashes: np.ndarray) -> list[list[int]]:
+def _lists(texts: DataFrame, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """How many features each text has, and their places; in an order that doesn't depend on tasks."""
     model = Toxic(hashes, np.zeros(len(hashes)), 0.0)
 
     def run(batches):
         for batch in batches:
-            found: list[list[int]] = [[] for _ in range(batch.num_rows)]
-            for first, row, feature in _distinct(batch.column(0), model):
-                for r, f in zip((row + first).tolist(), feature.tolist()):
-                    found[r].append(f)
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int32()))], ["x"])
+            for rows, row, feature in _distinct(batch.column(0), model):
+                ends = np.append(0, np.cumsum(np.bincount(row, minlength=rows)))
+                yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(feature, pa.int32()))], ["x"])
 
-    return sorted(r["x"] for r in texts.mapInArrow(run, "x array<int>").toLocalIterator())
+    found = texts.mapInArrow(run, "x array<int>").toArrow()["x"].combine_chunks()
+    n = np.diff(found.offsets.to_numpy())
+    places = found.flatten().to_numpy()
+    start = np.cumsum(n) - n
+    sums = np.append(np.uint64(0), np.cumsum(mix(places.astype(np.uint64) + np.uint64(1))))
+    order = np.lexsort((n, sums[start + n] - sums[start]))
+    at = np.repeat(start[order] - (np.cumsum(n[order]) - n[order]), n[order]) + np.arange(n.sum())
+    return n[order], places[at]
 
 
 def train(
-    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS, prior: float | None = None
+    docs: DataFrame, labels: DataFrame, modulus: int = 5, held_out: int = 0, rows: int = TRAIN_ROWS, unlabelled_rows: int = UNLABELLED_ROWS,
+    prior: float | None = None,
 ) -> Toxic:
-    """Fits on at most `rows` toxic and U_FOR_P * `rows` unlabelled texts. Labels of the held-out
+    """Fits on at most `rows` toxic and unlabelled_rows unlabelled texts. Labels of the held-out
     remainder are not read. Texts stay on the executors."""
     if prior is None:
         usable = labels.where((remainder(F.col("doc_id"), modulus) != held_out) & F.col("toxic").isin(0, 1))
@@ -161,7 +174,7 @@ def train(
         prior = toxic / n if n and toxic else PRIOR
     prior = float(min(max(prior, 0.001), 0.9))
     p = stash(sample(docs, labels, "toxic", modulus, held_out, rows, (1,)).select("text"), "confirmed")
-    u = stash(unlabelled(docs, U_FOR_P * rows), "unlabelled")
+    u = stash(unlabelled(docs, unlabelled_rows), "unlabelled")
     n_p, n_u = p.count(), u.count()
     hashes = choose_features(p, u, n_p, n_u) if n_p and n_u else np.zeros(0, np.uint64)
     model = fit(_lists(p, hashes), _lists(u, hashes), hashes, prior)
