@@ -13,8 +13,10 @@ their seeded hash, more digits for more rows. Tables of tree nodes hold a row fo
 
 A null level value is a node of its own. A null text, or one without words, has no tokens and is
 never taken. A null doc_id hashes as the text null. Repeated rows are rows like any other. If the
-budget exceeds the supply, everything is taken as often as allowed. Columns that docs has beside
-those named stay; helper columns begin with _mix."""
+budget exceeds the supply, everything is taken as often as allowed. Ties in the order of an epoch go
+to the text with fewer tokens; nodes equally full are served in the order of their names. An empty
+table gives no rows. Columns that docs has beside those named stay, but for columns that begin with
+_mix_, the names of the result, which are left out."""
 
 from __future__ import annotations
 
@@ -88,7 +90,7 @@ def mix(
     _mix_tokens (of the document) and _mix_taken (of them, from its start). The budget is
     share[0] / share[1] of all tokens, rounded down. levels: name and expression, root first."""
     names = [f"_mix_{k}" for k in levels]
-    rows = docs.withColumns(
+    rows = docs.drop(*[c for c in docs.columns if c.lower().startswith("_mix_")]).withColumns(
         {n: F.coalesce(c.cast("string"), F.lit(NULL)) for n, c in zip(names, levels.values())}
         | {"_mix_tokens": word_count(F.col("text")) if tokens is None else tokens}
     )

@@ -18,7 +18,14 @@ of near copies are few and rare. Other pairs are found through the first columns
 already in one component are not formed. Only the cost depends on the hubs: every link between
 rows of different components is checked exactly.
 
-Rows are documents. Null or empty texts, and texts without words, have no n-grams, n_shingles 0
+What grows without a bound in one task is nothing: pairs are made by equi-joins on columns that
+Spark deals out, and rows of one component are looked up under many keys. The driver gets maps of
+fixed size alone. Worst case: rows of one column that share no hub and aren't linked are compared
+pairwise as far as their sizes and places allow, so texts made of common passages alone, each in
+another choice, cost the square of their number for such a passage.
+
+Rows are documents. Ties between hubs go to the greater id, which changes no result. An empty table
+gives no rows. Null or empty texts, and texts without words, have no n-grams, n_shingles 0
 and link with nothing. Rows with a null id take part in no link and get a null component_id.
 Rows that repeat an id stay separate rows. Other columns are not looked at."""
 
@@ -32,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import CHUNK, Words, components, shingles, stash, sweep, text_chunks, unstash
+from keyloom.llm.shared import CHUNK, Words, components, free_name, shingles, stash, sweep, text_chunks, unstash
 
 #: Columns (n-grams) are counted in 2 ** BITS cells; the counts only order the columns.
 BITS, CELLS_A_ROW = 20, 1 << 14
@@ -41,7 +48,9 @@ COLUMN_BLOCKS = 8
 #: Pairs compared at once in a task.
 PAIRS = 256
 #: Bits of the marks of documents whose rows are asked for.
-MARKS = 1 << 22
+MARKS, MARK_PIECE = 1 << 22, 1 << 14
+#: Keys that a component's rows are dealt over when its smallest id is looked up.
+SALTS = 64
 
 
 def _sets(batch: pa.RecordBatch, k: int, keep=None):
@@ -77,16 +86,21 @@ def column_counts(docs: DataFrame, k: int) -> np.ndarray:
             ["block", "salt", "cells"],
         )
 
-    def add(key, table):
-        total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int32).astype(np.int64) for x in table.column("cells"))
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([total.tobytes()], pa.binary())})
+    def add(last):
+        def run(key, table):
+            total = sum(np.frombuffer(zlib.decompress(x.as_py()), np.int64 if last else np.int32).astype(np.int64) for x in table.column("cells"))
+            cells = (4 * np.log2(1 + total)).astype(np.uint8).tobytes() if last else zlib.compress(total.tobytes(), 1)
+            return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "cells": pa.array([cells], pa.binary())})
+
+        return run
 
     parts = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(count, "block int, salt int, cells binary")
-    parts = parts.groupBy("block", "salt").applyInArrow(add, "block int, cells binary")
-    total = np.zeros(((1 << BITS) // CELLS_A_ROW, CELLS_A_ROW), np.int64)
-    for row in parts.toLocalIterator():  # at most 16 rows of 128 kB for each of 64 blocks
-        total[row["block"]] += np.frombuffer(bytes(row["cells"]), np.int64)
-    return (4 * np.log2(1 + total.ravel())).astype(np.uint8)
+    parts = parts.groupBy("block", "salt").applyInArrow(add(False), "block int, cells binary")
+    parts = parts.groupBy("block").applyInArrow(add(True), "block int, cells binary")
+    total = np.zeros(((1 << BITS) // CELLS_A_ROW, CELLS_A_ROW), np.uint8)
+    for row in parts.toLocalIterator():  # 64 rows of 16 kB
+        total[row["block"]] = np.frombuffer(bytes(row["cells"]), np.uint8)
+    return total.ravel()
 
 
 def _rows(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> DataFrame:
@@ -177,6 +191,23 @@ def odd_columns(left: bytes, right: bytes) -> int:
     return int(np.unpackbits(a ^ b).sum())
 
 
+def _bitmap(wanted: DataFrame) -> np.ndarray:
+    """The sides of each mark: a map of fixed size that skips the texts on neither side of a pair (the
+    joins are exact). Its pieces are made on the executors."""
+
+    def piece(key, table):
+        sides = np.zeros(MARK_PIECE, np.uint8)
+        np.bitwise_or.at(sides, table.column("at").to_numpy(), table.column("side").to_numpy().astype(np.uint8))
+        return pa.table({"piece": pa.array([key[0].as_py()], pa.int32()), "sides": pa.array([zlib.compress(sides.tobytes(), 1)], pa.binary())})
+
+    marks = wanted.groupBy("bit").agg(F.bit_or("side").alias("side"))  # at most MARK_PIECE rows a piece
+    marks = marks.select(F.expr(f"cast(bit div {MARK_PIECE} as int)").alias("piece"), F.expr(f"cast(bit % {MARK_PIECE} as int)").alias("at"), "side")
+    out = np.zeros((MARKS // MARK_PIECE, MARK_PIECE), np.uint8)
+    for row in marks.groupBy("piece").applyInArrow(piece, "piece int, sides binary").toLocalIterator():  # 256 rows of 16 kB at most
+        out[row["piece"]] = np.frombuffer(zlib.decompress(bytes(row["sides"])), np.uint8)
+    return out.ravel()
+
+
 def _products(
     docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, num: int, den: int, counts: np.ndarray | None, by_parity: bool = False
 ) -> DataFrame:
@@ -188,13 +219,7 @@ def _products(
     named = nodes.select("id", F.col("node").alias("digest"), F.pmod(F.xxhash64("rep"), F.lit(MARKS)).alias("bit"))
     sides = pairs.select(F.col("a").alias("id"), F.lit(1).alias("side")).unionByName(pairs.select(F.col("b").alias("id"), F.lit(2).alias("side")))
     wanted = stash(named.join(sides.groupBy("id").agg(F.bit_or("side").alias("side")), "id"), "wanted")
-    # Bitmaps of fixed size skip the texts that are on neither side of a pair; the joins are exact.
-    marks = wanted.select("bit", "side").distinct().groupBy((F.col("bit") / 4096).cast("int").alias("part"))
-    bitmap = np.zeros(MARKS, np.uint8)
-    for row in marks.agg(F.collect_list(F.struct((F.col("bit") % 4096).alias("at"), "side")).alias("marks")).toLocalIterator():
-        for at, side in row["marks"]:
-            bitmap[row["part"] * 4096 + at] |= side
-    bitmap = spark.sparkContext.broadcast(bitmap)
+    bitmap = spark.sparkContext.broadcast(_bitmap(wanted))
     order = spark.sparkContext.broadcast(counts) if counts is not None else None
 
     def sets(batches):
@@ -288,7 +313,8 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(
         F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("prefix").alias("prefix")
     )
-    # Ids are fixed once the table is written; they are shorter than digests in what follows.
+    # Ids are fixed once the table is written; they are shorter than digests in what follows, and in the order of rep.
+    nodes = nodes.repartitionByRange("rep", "node").sortWithinPartitions("rep", "node")
     nodes = stash(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
     entries = nodes.select(F.col("id").alias("node"), "n", F.posexplode("prefix").alias("i", "term"))
     shared = entries.groupBy("term").agg((F.count("*") - 1).alias("others")).where("others > 0")
@@ -336,29 +362,47 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     # Most of these pairs only share a part: parities tell, and whole rows meet for the others.
     likely = _products(docs, nodes, pairs, k, num, den, None, True)
     more = _products(docs, nodes, likely, k, num, den, None)
-    comp = components(links.unionByName(more), "a", "b")
+    comp = stash(_joined(comp, more), "joined")
     for done in (entries, owned, pairs, near):
         unstash(done)
 
-    comp = comp.select(F.col("node").alias("id"), "component")
-    least = nodes.join(comp, "id").groupBy("component").agg(F.min("rep").alias("least"))
-    final = nodes.select("node", "id", "rep").join(comp, "id", "left").join(least, "component", "left")
-    final = final.select("node", F.coalesce("least", "rep").alias("component_id"))
-    out = rows.select("doc_id", "key", "n", "node").join(final, "node", "left")
-    return out.select(
-        "doc_id", "key", F.col("n").alias("n_shingles"),
-        F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"),
-    )
+    # Ids are in the order of rep, so the smallest id of a component has its smallest doc_id. Only rows
+    # with links look it up, and those of one component under many keys.
+    roots = nodes.join(comp.select(F.col("component").alias("id")).distinct(), "id").select(F.col("id").alias("component"), F.col("rep").alias("component_id"))
+    roots = roots.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    comp = comp.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    linked = comp.join(roots, ["component", "salt"]).select(F.col("node").alias("id"), "component_id")
+    final = nodes.select("node", "id", "rep").join(linked, "id", "left")
+    final = stash(final.select("node", F.coalesce("component_id", "rep").alias("component_id")), "final")
+    some = rows.where("node is not null and doc_id is not null").join(final, "node").select("doc_id", "key", "n", "component_id")
+    none = rows.where("node is null or doc_id is null").select("doc_id", "key", "n", F.col("doc_id").alias("component_id"))
+    out = some.unionByName(none)
+    return out.select("doc_id", "key", F.col("n").alias("n_shingles"), "component_id")
+
+
+def _joined(comp: DataFrame, more: DataFrame) -> DataFrame:
+    """The components (node, component) when further links (a, b) are added: these are taken between
+    components, so the second pass is over few."""
+    known = comp.select(F.col("node").alias("a"), F.col("component").alias("x"))
+    ends = more.join(known, "a", "left").join(known.select(F.col("a").alias("b"), F.col("x").alias("y")), "b", "left")
+    again = components(ends.select(F.coalesce("x", "a").alias("a"), F.coalesce("y", "b").alias("b")), "a", "b")
+    again = again.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    both = comp.join(again, "component", "full")
+    # A component of the first pass that is joined to others has its own row among `again`, as its smallest node.
+    return both.select(F.coalesce("node", "component").alias("node"), F.coalesce("least", "component").alias("component")).distinct()
 
 
 def one_of_each(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """The rows of docs without all but one of each group of near copies: the one of the smallest
-    id stays. Rows with null ids stay; of rows equal in id and text one stays."""
-    groups = stash(near_copies(docs, k, num, den).select("doc_id", "key", "component_id"), "groups")
-    key = [F.col("doc_id").cast("long") == F.col("_id"), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col("_key")]
-    named = groups.select(F.col("doc_id").alias("_id"), F.col("key").alias("_key"), "component_id")
-    kept = docs.join(named.where("_id <> component_id").select("_id", "_key").distinct(), key, "left_anti")
-    repeated = stash(named.where("_id is not null").groupBy("_id", "_key").count().where("count > 1").select("_id", "_key"), "repeated")
+    id stays. Rows with null ids stay; of rows equal in id and text one stays. All columns of docs
+    stay, whatever their names."""
+    groups = stash(near_copies(docs.select("doc_id", "text"), k, num, den).select("doc_id", "key", "component_id"), "groups")
+    id_, text_key = free_name(docs, "_id"), free_name(docs, "_key")
+    key = [F.col("doc_id").cast("long") == F.col(id_), F.xxhash64(F.coalesce("text", F.lit(""))) == F.col(text_key)]
+    named = groups.select(F.col("doc_id").alias(id_), F.col("key").alias(text_key), "component_id")
+    kept = docs.join(named.where(F.col(id_) != F.col("component_id")).select(id_, text_key).distinct(), key, "left_anti")
+    repeated = named.where(F.col(id_).isNotNull()).groupBy(id_, text_key).count().where("count > 1").select(id_, text_key)
+    repeated = stash(repeated, "repeated")
     if not repeated.limit(1).count():
         return kept
     again = kept.join(repeated, key, "left_semi")

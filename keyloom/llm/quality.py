@@ -8,7 +8,9 @@ language and labels are no features.
 
 Training uses at most `rows` labelled rows of each class (a documented bound); scoring streams
 over all rows with one small table. A null text is an empty text. Without usable labels every
-score is 0.5. Rows with null ids are scored and are not held out. Repeated rows get equal scores."""
+score is 0.5. Rows with null ids are scored and are not held out. Repeated rows get equal scores; a
+repeated label row counts as one more example. Features of equal gain are tried in their order. An
+empty table trains on nothing and gives no rows. The score column replaces one of the same name."""
 
 from __future__ import annotations
 
@@ -179,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, modulus: int = 3, held_out: int =
 
 
 def score(docs: DataFrame, model: Gam, out: str = "score") -> DataFrame:
-    """All columns of docs and out."""
+    """All columns of docs and out, which replaces a column of that name."""
     return add_scores(docs, lambda data, offsets: model.score(features(data, offsets)), out)
 
 

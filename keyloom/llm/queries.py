@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from keyloom.functions import hashing
 from keyloom.llm import bpe, exact_topk, html_wrapper, learned_ann, licenses, mixing, ngram_join, quality, sharding, toxicity
 
 #: Target weights of the mixture; nodes that aren't named weigh 1.
@@ -45,7 +46,7 @@ def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_topk.integer_topk(table(spark, sf_dir, "embeddings"), 100, 1024, 10)
-    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", F.col("score").cast("long").alias("score"))
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -167,10 +168,9 @@ def _sql_mixing() -> str:
 
 _SQL_TOPK = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS x FROM embeddings
-  WHERE embedding IS NOT NULL AND len(embedding) > 0
-    AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0),
 s AS (SELECT q.vec_id AS query_id, c.vec_id,
-    CAST(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])) AS BIGINT) AS score
+    CAST(coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: p[1] * p[2])), 0) AS BIGINT) AS score
   FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
@@ -199,21 +199,23 @@ def _sql_licenses() -> str:
         )
         for p, label in licenses.PHRASES.items()
     )
-    num, den = licenses.THRESHOLD
-    notices = " UNION ALL ".join(
-        f"SELECT '{label}' AS label, [{', '.join(repr(w) for w in sorted(set(t.split())))}] AS t" for label, t in licenses.TEMPLATES
+    v = licenses.Vocabulary()
+    templates = " UNION ALL ".join(
+        f"SELECT {t} AS t, '{v.labels[t]}' AS label, {len(s)} AS size, {v.need[t]} AS need, {v.spans[t]} AS span, {v.telling[:, t].sum()} AS tell, "
+        f"unnest({s!r}) AS word, unnest({[bool(v.telling[v.words.index(w), t]) for w in s]!r}) AS telling"
+        for t, s in enumerate(v.sets)
     )
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-    lower = _LOWER.format("coalesce(text, '')")
     return f"""
-WITH d AS (SELECT doc_id, regexp_extract_all({lower}, '{word}') AS w FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{word}') AS w FROM documents),
 p AS ({places}),
 b AS (SELECT doc_id, count(*) AS n, min(place) AS lo, max(place) AS hi, list(DISTINCT label) AS labels FROM p GROUP BY 1),
-lines AS (SELECT doc_id, list_distinct(regexp_extract_all(unnest(string_split({lower}, chr(10))), '{word}')) AS w FROM documents),
-t AS ({notices}),
-m AS (SELECT doc_id, label, len(list_intersect(w, t)) / CAST(len(t) AS DOUBLE) AS c FROM lines, t
-  WHERE len(list_intersect(w, t)) * {den} >= {num} * len(t)),
-mm AS (SELECT doc_id, max(c) AS c, list(DISTINCT label) AS labels FROM m GROUP BY 1)
+t AS ({templates}),
+x AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS place FROM d),
+h AS (SELECT x.doc_id, x.place, t.* FROM x JOIN t USING (word)),
+m AS (SELECT doc_id, label, size, need, tell, count(DISTINCT word) OVER block AS held, count(DISTINCT CASE WHEN telling THEN word END) OVER block AS told
+  FROM h WINDOW block AS (PARTITION BY doc_id, t ORDER BY place RANGE BETWEEN CURRENT ROW AND span - 1 FOLLOWING)),
+mm AS (SELECT doc_id, max(held / CAST(size AS DOUBLE)) AS c, list(DISTINCT label) AS labels FROM m WHERE held >= need AND told = tell GROUP BY 1)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(b.n, 0) AS BIGINT) AS n_base, CAST(b.lo AS BIGINT) AS first_word,
   CAST(b.hi AS BIGINT) AS last_word, coalesce(array_to_string(list_sort(b.labels), ','), '') AS base_labels,
   coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(b.labels, []), coalesce(mm.labels, [])))), ','), '') AS labels,
@@ -222,9 +224,56 @@ FROM d LEFT JOIN b USING (doc_id) LEFT JOIN mm USING (doc_id)
 """
 
 
+def _sql_shards(columns=("lang", "source", "n_chars"), shards: int = 16, bits: int = sharding.BITS) -> str:
+    n = len(columns)
+    ctes = [
+        f"crc AS MATERIALIZED {hashing.CRC_STEPS_SQL}",
+        f"d AS (SELECT CAST(doc_id AS BIGINT) AS doc_id, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) + 1 AS size, "
+        f"{hashing.crc_sql(hashing.bytes_sql("coalesce(text, '')"))} AS text_crc32, {', '.join(columns)} FROM documents, crc)",
+    ]
+    for i, c in enumerate(columns):
+        ctes.append(
+            f"q{i} AS (SELECT {c}, CAST(((sum(n) OVER (ORDER BY {c}) - n) * {1 << bits}) // (sum(n) OVER ()) AS BIGINT) AS cell FROM "
+            f"(SELECT {c}, count(*) AS n FROM d WHERE {c} IS NOT NULL GROUP BY 1))"
+        )
+    joins = " ".join(f"LEFT JOIN q{i} ON d.{c} = q{i}.{c}" for i, c in enumerate(columns))
+    ctes.append(f"g AS (SELECT d.doc_id, size, text_crc32, {', '.join(f'coalesce(q{i}.cell, 0) AS x{i}' for i in range(n))} FROM d {joins})")
+    at, step = "g", 0
+
+    def then(**new: str) -> None:
+        nonlocal at, step
+        step += 1
+        ctes.append(f"h{step} AS (SELECT doc_id, size, text_crc32, {', '.join(f'{new.get(f"x{i}", f"x{i}")} AS x{i}' for i in range(n))} FROM {at})")
+        at = f"h{step}"
+
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        for i in range(n):
+            swap = f"(xor(x0, x{i}) & {q - 1})"
+            first = f"CASE WHEN x{i} & {q} <> 0 THEN xor(x0, {q - 1}) ELSE xor(x0, {swap}) END"
+            then(**{"x0": first} | ({f"x{i}": f"CASE WHEN x{i} & {q} <> 0 THEN x{i} ELSE xor(x{i}, {swap}) END"} if i else {}))
+    for i in range(1, n):
+        then(**{f"x{i}": f"xor(x{i}, x{i - 1})"})
+    turn = "0"
+    for q in [1 << b for b in range(bits - 1, 0, -1)]:
+        turn = f"xor({turn}, CASE WHEN x{n - 1} & {q} <> 0 THEN {q - 1} ELSE 0 END)"
+    then(**{f"x{i}": f"xor(x{i}, {turn})" for i in range(n)})
+    curve = " + ".join(f"((x{i} >> {b}) & 1) * {1 << (b * n + n - 1 - i)}" for b in range(bits) for i in range(n))
+    ids = [f"coalesce(CAST({c} AS VARCHAR), 'null')" for c in ("doc_id", "size", "text_crc32")]
+    ctes += [
+        f"c AS (SELECT doc_id, size, text_crc32, CAST({curve} AS BIGINT) AS curve, md5({" || ':' || ".join(ids)}) AS h FROM {at})",
+        "r AS (SELECT *, row_number() OVER (ORDER BY curve, h, doc_id, size, text_crc32) - 1 AS rank, count(*) OVER () AS total FROM c)",
+        f"s AS (SELECT *, (rank * {shards}) // total AS shard FROM r)",
+    ]
+    return (
+        "WITH " + ",\n".join(ctes) + "\nSELECT doc_id, size, text_crc32, 'rows' AS law, CAST(shard AS INT) AS shard, "
+        f"CAST(rank - (shard * total + {shards - 1}) // {shards} AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard, curve FROM s"
+    )
+
+
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": _sql_mixing(),
     "op2_exact_topk": _SQL_TOPK,
     "op5_ngram_join": _SQL_NGRAMS,
+    "op7_hilbert_shards": _sql_shards(),
     "op10_licenses": _sql_licenses(),
 }

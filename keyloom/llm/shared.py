@@ -67,11 +67,20 @@ def sweep(spark: SparkSession) -> None:
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}
-    while stem in taken:
+    while stem.lower() in taken:
         stem = "_" + stem
     return stem
 
 
+def aside(df: DataFrame, prefix: str) -> tuple[DataFrame, dict[str, str]]:
+    """(df with other names for the columns that begin with the prefix, new names to old ones)."""
+    names: dict[str, str] = {}
+    for c in df.columns:
+        if c.lower().startswith(prefix):
+            names[c] = free_name(df, f"aside{prefix}{len(names)}")
+    return df.withColumnsRenamed(names), {v: k for k, v in names.items()}
+
+
 # ---------------------------------------------------------------- words of Arrow text
 
 
@@ -116,7 +125,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def text_chunks(column: pa.Array, limit: int = CHUNK):
     """Yields (first row, row after the last, bytes, offsets) of a string column without nulls in
-    runs of at most limit bytes; a longer text makes a run of its own."""
+    runs of at most limit bytes; a longer text makes a run of its own (so a worker needs about 60
+    bytes of memory for each byte of the longest text)."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     kind = np.int64 if pa.types.is_large_string(column.type) else np.int32
@@ -197,17 +207,18 @@ def prefix_sums(df: DataFrame, group: list[str], bucket: str, order: list[Column
     (bucket, *order). A group is never in one task: sums of (group, bucket) are added up first,
     from partial aggregates, then each (group, bucket) is ordered alone. Choose the number of
     buckets so that one of them fits a task. Only built-in functions."""
-    v, base, inner = "_ps_value", "_ps_base", "_ps_inner"
+    v, base, inner = (free_name(df, c) for c in ("_ps_value", "_ps_base", "_ps_inner"))
     df = df.withColumn(v, value)
     keys = [*group, bucket]
+    names = {k: free_name(df, f"_ps_{k}") for k in keys}
     sums = df.groupBy(*keys).agg(F.sum(v).alias(base))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn(base, F.coalesce(F.sum(base).over(before), F.lit(0)).cast("long"))
-    sums = sums.select(*[F.col(k).alias(f"_ps_{k}") for k in keys], base)
+    sums = sums.select(*[F.col(k).alias(names[k]) for k in keys], base)
     here = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     df = df.withColumn(inner, F.coalesce(F.sum(v).over(here), F.lit(0)).cast("long"))
-    joined = df.join(sums, [F.col(k) == F.col(f"_ps_{k}") for k in keys])
-    return joined.withColumn(out, F.col(base) + F.col(inner)).drop(v, base, inner, *[f"_ps_{k}" for k in keys])
+    joined = df.join(sums, [F.col(k) == F.col(names[k]) for k in keys])
+    return joined.withColumn(out, F.col(base) + F.col(inner)).drop(v, base, inner, *names.values())
 
 
 # ---------------------------------------------------------------- connected components
