@@ -1,7 +1,13 @@
 """A corpus from raw documents: quality, toxicity, near copies, mixture, tokens.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written and read again as
-the next stage's docs. All but the last return the columns of documents."""
+the next stage's docs. All but the last return the columns of docs, whatever further columns it has
+and whatever they are called.
+
+Null and empty texts are documents like any other: the classifiers score them as empty texts, they
+are no copies of anything, have no tokens (so the mixture never takes them) and encode to no ids.
+Texts of any length are taken whole. Rows with a null doc_id are scored, kept by the near-copy stage
+and mixed like others. Of rows equal in id and text one stays. An empty table gives an empty one."""
 
 from __future__ import annotations
 
@@ -9,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from keyloom.llm import bpe, mixing, ngram_join, quality, queries, toxicity
-from keyloom.llm.shared import stash
+from keyloom.llm.shared import aside, free_name, stash
 from keyloom.session import importable
 
 #: The mixture takes three quarters of the tokens, a document at most twice.
@@ -17,17 +23,17 @@ SHARE, EPOCHS, SEED = (3, 4), 2, 7
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts: score 0.5 or more."""
     importable(spark)
-    model = quality.train(docs, queries.table(spark, sf_dir, "labels"))
-    return quality.score(docs, model, "_score").where("_score >= 0.5").drop("_score")
+    model, out = quality.train(docs, queries.table(spark, sf_dir, "labels")), free_name(docs, "_score")
+    return quality.score(docs, model, out).where(F.col(out) >= 0.5).drop(out)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the toxicity classifier doesn't reject."""
+    """Documents that the toxicity classifier doesn't reject: score under 0.5."""
     importable(spark)
-    model = toxicity.train(docs, queries.table(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model, "_score").where("_score < 0.5").drop("_score")
+    model, out = toxicity.train(docs, queries.table(spark, sf_dir, "labels")), free_name(docs, "_score")
+    return toxicity.score(docs, model, out).where(F.col(out) < 0.5).drop(out)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,11 +47,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a source's prefix is cut after its last word taken."""
     importable(spark)
     columns = docs.columns
-    levels = {k: c for k, c in queries.mix_levels().items()}
-    taken = mixing.mix(docs, levels, queries.MIX_WEIGHTS, SHARE, EPOCHS, SEED)
+    docs, names = aside(docs, "_mix_")
+    taken = mixing.mix(docs, queries.mix_levels(), queries.MIX_WEIGHTS, SHARE, EPOCHS, SEED)
     cut = F.col("_mix_taken") < F.col("_mix_tokens")
     taken = taken.withColumn("text", F.when(cut, mixing.first_words(F.col("text"), F.col("_mix_taken"))).otherwise(F.col("text")))
-    return taken.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))).select(*columns)
+    taken = taken.withColumn("n_chars", F.when(cut, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
+    return taken.select(*docs.columns).withColumnsRenamed(names).select(*columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
