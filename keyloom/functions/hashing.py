@@ -114,18 +114,18 @@ class BloomFilter:
         return self.bits // 8
 
     def to_bytes(self) -> bytes:
-        return struct.pack("<IBQ", self.bits, self.hashes, self.items) + self.words.astype("<u8").tobytes()
+        return struct.pack("<QBQ", self.bits, self.hashes, self.items) + self.words.astype("<u8").tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> "BloomFilter | None":
-        if len(data) < 13:
+        if len(data) < 17:
             return None
-        bits, hashes, items = struct.unpack_from("<IBQ", data)
-        if not bits or bits % 64 or not hashes or len(data) < 13 + bits // 8:
+        bits, hashes, items = struct.unpack_from("<QBQ", data)
+        if not bits or bits % 64 or not hashes or len(data) < 17 + bits // 8:
             return None
         out = cls.__new__(cls)
         out.bits, out.hashes, out.items = bits, hashes, items
-        out.words = np.frombuffer(data, "<u8", bits // 64, 13).astype(np.uint64)
+        out.words = np.frombuffer(data, "<u8", bits // 64, 17).astype(np.uint64)
         return out
 
 
@@ -153,10 +153,12 @@ def bloom_of(df: DataFrame, key: str, expected: int, fpp: float = 0.01) -> Bloom
 
 
 def may_contain(filter: BloomFilter, key: Column) -> Column:
-    """Whether the filter may hold each key; the filter goes to the executors once."""
+    """Whether the filter may hold each key, null for null; the filter goes to the executors once."""
 
     def run(v: pd.Series) -> pd.Series:
-        return pd.Series(filter.may_contain(*[bytes(x) for x in v])) if len(v) else pd.Series([], dtype=bool)
+        some = [x is not None for x in v]
+        hits = iter(filter.may_contain(*[bytes(x) for x in v if x is not None]) if any(some) else ())
+        return pd.Series([bool(next(hits)) if s else None for s in some], dtype=object)
 
     run.__annotations__ = {"v": pd.Series, "return": pd.Series}
     return F.pandas_udf(run, "boolean")(key.cast("binary"))

@@ -41,6 +41,16 @@ def contiguous_ranges(pages: DataFrame, page: str = "page_id", block: int = 1 <<
     return inner.unionByName(joined).select(F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("pages"), F.col("e").alias("end"))
 
 
+def total_size(pages: DataFrame, data: str = "data") -> DataFrame:
+    """pages and bytes of a batch."""
+    return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.octet_length(data)), F.lit(0)).cast("long").alias("bytes"))
+
+
+def chunk(rows: DataFrame, order: str, size: int, block: int = 100_000) -> DataFrame:
+    """Adds chunk: runs of `size` rows in the order of an integer column without repeats."""
+    return group_commits(rows, order, size, block).withColumnRenamed("batch", "chunk")
+
+
 def range_offset(start: Column, page_size: int) -> Column:
     return start * page_size
 

@@ -6,6 +6,8 @@ inside and come out as strings or hex."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,8 +15,11 @@ from pyspark.sql import functions as F
 from keyloom.functions import codec, hashing, layout
 from keyloom.operators import batch, metrics, overlay
 from keyloom.operators.bounds import excluded, included
-from keyloom.operators.read import View
-from keyloom.sources.tables import as_entries
+from keyloom.operators.read import ReadView, View
+from keyloom.plans.options import Options
+from keyloom.plans.store import Store
+from keyloom.session import scratch
+from keyloom.sources.tables import as_entries, export_entries, json_entries
 from keyloom.streaming import checkpoint, log
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -218,19 +223,53 @@ def bucket_range(s, d):
     return text(View(customer_kv(s, d), (b"EUROPE", b"NATION_3")).range("0000000200", "0000000900"))
 
 
-@query("SELECT n_name AS name, CAST(row_number() OVER (ORDER BY octet_length(encode(n_name)), n_name) AS INT) AS place FROM nation")
-def list_buckets_len_order(s, d):
-    from pyspark.sql import Window
+def names(s, rows: list[tuple], schema: str) -> DataFrame:
+    """A listing of the catalogue (not of data) as a table."""
+    return s.createDataFrame(rows, schema)
+
 
-    names = table(s, d, "nation").select(F.col("n_name").cast("binary").alias("name"))  # a catalogue, not data
-    order = Window.partitionBy(F.lit(0)).orderBy(F.octet_length("name"), "name")
-    return names.select(F.col("name").cast("string").alias("name"), F.row_number().over(order).alias("place"))
+def customer_view(s, d) -> ReadView:
+    """customer_kv with its catalogue: a bucket for each region that has a nation, and below it those."""
+    nation = table(s, d, "nation").join(F.broadcast(table(s, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))  # 25 rows, 5 rows
+    paths = {(r["r_name"].encode(), r["n_name"].encode()) for r in nation.select("r_name", "n_name").collect()}
+    return ReadView(customer_kv(s, d), frozenset(paths | {p[:1] for p in paths}))
 
 
-@query("SELECT r_name AS parent, n_name AS child FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_name IN (SELECT b2 FROM customer_kv)")
+@query(
+    "SELECT r_name AS parent, n_name AS name, CAST(row_number() OVER (PARTITION BY r_name ORDER BY octet_length(encode(n_name)), n_name) AS INT) AS place "
+    "FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
 def list_nested_children(s, d):
-    paths = customer_paths(s, d).select("path").distinct()
-    return paths.select(F.col("path")[0].cast("string").alias("parent"), F.col("path")[1].cast("string").alias("child"))
+    view = customer_view(s, d)
+    rows = [(p.decode(), c.decode(), i + 1) for p in view.list_buckets() for i, c in enumerate(view.list_nested_buckets(p))]
+    return names(s, rows, "parent string, name string, place int")
+
+
+@query("SELECT r_name AS name, CAST(row_number() OVER (ORDER BY octet_length(encode(r_name)), r_name) AS INT) AS place FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation)")
+def list_buckets_len_order(s, d):
+    return names(s, [(n.decode(), i + 1) for i, n in enumerate(customer_view(s, d).list_buckets())], "name string, place int")
+
+
+@query(
+    "SELECT p.b1, p.b2, (b1, b2) IN (SELECT r_name, n_name FROM nation JOIN region ON n_regionkey = r_regionkey) AS found "
+    "FROM (SELECT r_name AS b1, n_name AS b2 FROM region, nation) p"
+)
+def bucket_exists_grid(s, d):
+    view = customer_view(s, d)
+    nations = sorted({p[1] for p in view.buckets if len(p) == 2})
+    regions = [r["r_name"].encode() for r in table(s, d, "region").collect()]  # 5 rows
+    return names(s, [(r.decode(), n.decode(), view.nested_bucket_exists(r, n)) for r in regions for n in nations], "b1 string, b2 string, found boolean")
+
+
+@query(
+    "SELECT lower('03' || '02' || lpad(to_hex(octet_length(encode(b1))), 2, '0') || hex(encode(b1)) || lpad(to_hex(octet_length(encode(b2))), 2, '0') "
+    "|| hex(encode(b2)) || hex(encode(k))) AS internal, v FROM customer_kv UNION ALL "
+    "SELECT lower('00' || lpad(to_hex(octet_length(encode(r_name))), 2, '0') || hex(encode(r_name))), '' FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) "
+    "UNION ALL SELECT lower('02' || '02' || lpad(to_hex(octet_length(encode(r_name))), 2, '0') || hex(encode(r_name)) || lpad(to_hex(octet_length(encode(n_name))), 2, '0') "
+    "|| hex(encode(n_name))), '' FROM nation JOIN region ON n_regionkey = r_regionkey"
+)
+def iterate_all(s, d):
+    return customer_view(s, d).iter().select(F.lower(F.hex("key")).alias("internal"), F.col("value").cast("string").alias("v"))
 
 
 @query("SELECT b1, b2, count(*) AS n FROM customer_kv GROUP BY ALL")
@@ -351,11 +390,6 @@ def wal_uncommitted_lost(s, d):
     return all_ops.join(good, "txid", "left_anti").groupBy("txid").agg(F.count("*").alias("lost"))
 
 
-@query(f"SELECT k, v FROM ({_LAST.format(' WHERE txid <= 100')}) WHERE op = 'put'")
-def snapshot_as_of(s, d):
-    return text(overlay.collapse(event_ops(s, d).where("txid <= 100")).where("op = 'put'"))
-
-
 @query(
     "SELECT txid, n >= 20 AND bytes >= 250 OR bytes >= 290 AS due FROM (SELECT txid, count(*) AS n, "
     "sum(octet_length(encode(k)) + octet_length(encode(v))) AS bytes FROM event_ops GROUP BY 1)"
@@ -438,15 +472,15 @@ def lsn_pack_unpack(s, d):
     return rows.withColumns({"segment": layout.lsn_segment(F.col("lsn")), "off": layout.lsn_offset(F.col("lsn"))})
 
 
-# ---------------------------------------------------------------- hashes, filters, streams (not in SQL)
+# ---------------------------------------------------------------- hashes, filters, streams
 
 
-@query()
+@query(f"SELECT k, {hashing.crc_sql(hashing.bytes_sql('v'))} AS crc FROM documents_kv, {hashing.CRC_STEPS_SQL} c")
 def checksum_crc32(s, d):
     return documents_kv(s, d).select(F.col("key").cast("string").alias("k"), hashing.crc(F.col("value")).alias("crc"))
 
 
-@query()
+@query(f"SELECT k, {hashing.fnv1a_sql(hashing.bytes_sql('k'))} AS fnv FROM orders_kv")
 def fnv1a_hash(s, d):
     return orders_kv(s, d).select(F.col("key").cast("string").alias("k"), hashing.fnv1a(F.col("key")).alias("fnv"))
 
@@ -454,25 +488,261 @@ def fnv1a_hash(s, d):
 @query("SELECT 0 AS false_negatives, count(*) AS n FROM orders")
 def bloom_no_false_negative(s, d):
     keys = orders_kv(s, d)
-    bloom = hashing.bloom_of(keys, "key", 100_000)
+    bloom = hashing.bloom_of(keys, "key", keys.count())
     seen = keys.select(hashing.may_contain(bloom, F.col("key")).alias("hit"))
     return seen.agg(F.count_if(~F.col("hit")).cast("int").alias("false_negatives"), F.count("*").alias("n"))
 
 
 @query(f"SELECT k, v FROM ({_LAST.format(' WHERE committed')}) WHERE op = 'put'")
 def stream_follow(s, d):
-    """Committed deltas written as files, followed as a stream, merged batch by batch."""
-    import tempfile
-    import uuid
-
-    root = s.conf.get("spark.checkpoint.dir", None)
-    if root is None and not s.sparkContext.master.startswith("local["):
-        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    root = f"{root.rstrip('/') if root else 'file://' + tempfile.gettempdir()}/keyloom-follow-{uuid.uuid4().hex}"
+    """Committed deltas written as files, followed as a stream, each batch merged into what came before."""
+    root = scratch(s, "follow")
     delta = ["txid", "seq", "op", "ns", "key", "value"]
     event_ops(s, d).where("committed").select(*delta).withColumn("part", F.col("txid") % 2).write.partitionBy("part").parquet(f"{root}/delta")
-    log.follow(s, f"{root}/delta", lambda b, id: b.write.mode("overwrite").parquet(f"{root}/out/batch={id}"), f"{root}/check", True, 2).awaitTermination()
-    # The stream's batches may hold any files, so the last operation is chosen by (txid, seq) again.
-    ops = s.read.parquet(f"{root}/delta").select(*delta)
-    seen = s.read.parquet(f"{root}/out").select("ns", "key").distinct()
-    return text(overlay.collapse(ops.join(seen, ["ns", "key"], "left_semi")).where("op = 'put'"))
+    states: list[str] = []
+
+    def merge(batch: DataFrame, id: int) -> None:
+        if states:  # the state keeps deletes and what orders them, so batches may hold files in any order
+            batch = overlay.collapse(batch.unionByName(s.read.parquet(states[-1])), keep=("txid", "seq", "op", "value"))
+        batch.write.mode("overwrite").parquet(f"{root}/state/{id}")
+        states.append(f"{root}/state/{id}")
+
+    log.follow(s, f"{root}/delta", merge, f"{root}/check", True, 2).awaitTermination()
+    return text(s.read.parquet(states[-1]).where("op = 'put'"))
+
+
+# ---------------------------------------------------------------- the store
+
+#: Every store query makes a store of its own from the tables, and reads it after what its name says.
+
+
+def ordered(rows: DataFrame) -> DataFrame:
+    """An operation table as batch_put takes it: key, value and the order of repeated keys."""
+    return rows.select("key", "value", F.col("seq"))
+
+
+def event_store(s, d, name: str, cuts: tuple[int, ...], options: Options | None = None) -> Store:
+    """A store of the events' operations: a commit for each run of transactions between cuts. Batches
+    of puts and deletes of one commit are taken in turn, so each holds the last operations of its run."""
+    store = Store.open(s, scratch(s, name), options)
+    ops = event_ops(s, d)
+    for lo, hi in zip((-1, *cuts), (*cuts, 1 << 60)):
+        last = overlay.collapse(ops.where((F.col("txid") > lo) & (F.col("txid") <= hi)))
+        with store.write_tx() as tx:
+            tx.batch_put(last.where("op = 'put'"))
+            tx.batch_delete(last.where("op = 'del'"))
+            tx.commit()
+    return store
+
+
+_ALL = f"SELECT k, v FROM ({_LAST.format('')}) WHERE op = 'put'"
+
+
+@query("SELECT k, v FROM orders_kv")
+def store_commit_reopen(s, d):
+    root = scratch(s, "reopen")
+    with Store.open(s, root).write_tx() as tx:
+        tx.create_bucket("orders")
+        tx.bucket_batch_put(["orders"], orders_view(s, d).rows)
+        tx.commit()
+    return text(Store.open(s, root).read_tx().bucket("orders").scan())
+
+
+@query("SELECT k, CASE WHEN CAST(k AS BIGINT) % 2 = 0 THEN 'updated' ELSE v END AS v FROM orders_kv WHERE CAST(k AS BIGINT) % 5 <> 0")
+def store_read_your_writes(s, d):
+    """What an open transaction sees, before any commit of it."""
+    rows, id = orders_view(s, d).rows, F.col("key").cast("string").cast("long")
+    store = Store.open(s, scratch(s, "own"))
+    with store.write_tx() as tx:
+        tx.create_bucket("orders")
+        tx.bucket_batch_put(["orders"], rows)
+        tx.commit()
+    tx = store.write_tx()
+    tx.bucket_batch_put(["orders"], rows.where(id % 2 == 0).withColumn("value", F.lit(b"updated")))
+    tx.bucket_batch_delete(["orders"], rows.where(id % 5 == 0).select("key"))
+    view = tx.bucket("orders")
+    tx.rollback()
+    return text(view.scan())
+
+
+@query("SELECT count(*) AS n FROM orders_kv WHERE k < '0000000050'")
+def store_rollback(s, d):
+    store = Store.open(s, scratch(s, "rollback"))
+    with store.write_tx() as tx:
+        tx.batch_put(orders_view(s, d).range("0000000000", "0000000050"))
+        tx.commit()
+    with store.write_tx() as tx:
+        tx.batch_put(orders_view(s, d).rows)
+        tx.create_bucket("gone")
+    return store.read_tx().kv.agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT k, v FROM ({_LAST.format(' WHERE txid <= 100')}) WHERE op = 'put'")
+def snapshot_as_of(s, d):
+    """A snapshot read after later commits, a checkpoint and a vacuum."""
+    store = Store.open(s, scratch(s, "snapshot"))
+    last = overlay.collapse(event_ops(s, d).where("txid <= 100"))
+    with store.write_tx() as tx:
+        tx.batch_put(last.where("op = 'put'"))
+        tx.commit()
+    held = store.create_snapshot()
+    with store.write_tx() as tx:
+        tx.batch_delete(last.select("key"))
+        tx.put("later", "x")
+        tx.commit()
+    store.checkpoint()
+    store.vacuum(min_age_s=-1)
+    return text(store.get_snapshot(held).scan())
+
+
+@query(f"SELECT k, v FROM ({_LAST.format(' WHERE txid <= 200')}) WHERE op = 'put'")
+def store_time_travel(s, d):
+    return text(event_store(s, d, "travel", (100, 200, 300)).as_of(2).scan())
+
+
+@query(_ALL)
+def store_commits(s, d):
+    return text(event_store(s, d, "commits", (50, 150, 250, 350)).read_tx().scan())
+
+
+@query(_ALL)
+def store_checkpoint_vacuum(s, d):
+    store = event_store(s, d, "checkpoint", (100, 300))
+    store.checkpoint()
+    store.vacuum(min_age_s=-1)
+    return text(Store.open(s, store.path).read_tx().scan())
+
+
+@query(_ALL)
+def store_log_replay(s, d):
+    """Commits that are in the log alone, replayed when the store is opened."""
+    store = event_store(s, d, "replay", (200, 400), Options(wal_enabled=True, wal_segment_size=1 << 30))
+    return text(Store.open(s, store.path).read_tx().scan())
+
+
+@query("SELECT k, v FROM orders_kv WHERE k < '0000000300' UNION ALL SELECT 'small', 'x'")
+def store_log_of_small_commits(s, d):
+    """Transactions of single rows, shared by threads and written as segments of the log."""
+    root = scratch(s, "small")
+    store = Store.open(s, root, Options(wal_enabled=True))
+    rows = [(bytes(r["key"]), bytes(r["value"])) for r in orders_view(s, d).range(None, "0000000300").collect()]  # 300 rows
+    with ThreadPoolExecutor(8) as pool:
+        list(pool.map(lambda i: store.update(lambda tx: tx.batch_put(rows[i::10])), range(10)))
+    with store.write_tx() as tx:
+        tx.put("small", "x")
+        tx.commit()
+    return text(Store.open(s, root).read_tx().scan())
+
+
+def customer_store(s, d, name: str) -> Store:
+    store, rows = Store.open(s, scratch(s, name)), customer_paths(s, d)
+    with store.write_tx() as tx:
+        for path in customer_view(s, d).paths():
+            tx.create_nested_bucket_at_path(path[:-1], path[-1]) if len(path) > 1 else tx.create_bucket(path[0])
+        for b1, b2 in (("ASIA", "NATION_2"), ("ASIA", "NATION_7"), ("EUROPE", "NATION_3")):
+            own = rows.where((F.col("path")[0] == F.lit(b1.encode())) & (F.col("path")[1] == F.lit(b2.encode())))
+            tx.bucket_batch_put([b1, b2], own.select("key", "value"))
+        tx.commit()
+    return store
+
+
+_CUSTOMERS = "SELECT b1, b2, k, v FROM customer_kv WHERE (b1, b2) IN (('ASIA', 'NATION_2'), ('ASIA', 'NATION_7'), ('EUROPE', 'NATION_3'))"
+
+
+@query(f"SELECT b1, b2, k, v FROM ({_CUSTOMERS}) WHERE b1 <> 'ASIA' UNION ALL SELECT 'ASIA', 'NATION_2', 'again', '1'")
+def store_bucket_life(s, d):
+    """A bucket is dropped with all below it, made again and filled again."""
+    store = customer_store(s, d, "life")
+    with store.write_tx() as tx:
+        tx.delete_bucket("ASIA")
+        tx.create_bucket("ASIA")
+        tx.create_nested_bucket("ASIA", "NATION_2")
+        tx.nested_bucket_put("ASIA", "NATION_2", "again", "1")
+        tx.commit()
+    view = Store.open(s, store.path).read_tx()
+    parts = [(p, view.nested_bucket_at_path(p).rows) for p in view.paths() if len(p) > 1]
+    out = [text(rows).select(F.lit(p[0].decode()).alias("b1"), F.lit(p[1].decode()).alias("b2"), "k", "v") for p, rows in parts]
+    return reduce(DataFrame.unionByName, out)
+
+
+@query(f"SELECT k, v FROM ({_CUSTOMERS}) WHERE b2 <> 'NATION_7'")
+def store_nested_drop(s, d):
+    store = customer_store(s, d, "nested")
+    with store.write_tx() as tx:
+        tx.delete_nested_bucket("ASIA", "NATION_7")
+        tx.commit()
+    return text(store.read_tx().kv)
+
+
+@query("SELECT depth, count(*) AS n FROM (SELECT 1 AS depth FROM region WHERE r_regionkey IN (SELECT n_regionkey FROM nation) UNION ALL SELECT 2 FROM nation) GROUP BY 1")
+def store_sql_views(s, d):
+    customer_store(s, d, "views").register_views("keyloom_")
+    return s.sql("SELECT depth, count(*) AS n FROM keyloom_buckets GROUP BY depth")
+
+
+@query(
+    "SELECT count(*) FILTER (WHERE hit) AS updates, count(*) FILTER (WHERE NOT hit) AS inserts FROM (SELECT DISTINCT k, "
+    "k IN (SELECT printf('%06d', c_custkey) FROM customer) AS hit FROM event_ops WHERE op = 'put')"
+)
+def store_insert_bulk(s, d):
+    store = Store.open(s, scratch(s, "bulk"))
+    puts = event_ops(s, d).where("op = 'put'")
+    with store.write_tx() as tx:
+        base = as_entries(table(s, d, "customer"), pad("c_custkey", 6), F.lit(""))
+        old = tx.insert_bulk(base.select("key", "value"))
+        new = tx.insert_bulk(ordered(puts), seq="seq")
+        after = tx.view().kv.agg((F.count("*") - old).alias("inserts"))
+        tx.commit()
+    return after.select((F.lit(puts.select("key").distinct().count()) - F.lit(new)).cast("long").alias("updates"), "inserts")
+
+
+@query("SELECT true AS present, false AS absent, count(*) AS n FROM orders_kv")
+def store_may_contain_key(s, d):
+    view = ReadView(orders_kv(s, d), frozenset({(b"orders",)}))
+    present, absent = view.may_contain_key("0000000000", [b"orders"]), view.may_contain_key("0000000000")
+    return view.kv.agg(F.lit(present).alias("present"), F.lit(absent).alias("absent"), F.count("*").alias("n"))
+
+
+# ---------------------------------------------------------------- shapes of batches
+
+
+@query(
+    "SELECT user_id, event_id, CAST(floor((sum(octet_length(encode(props))) OVER w - octet_length(encode(props))) / 4096) AS BIGINT) AS flush "
+    "FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)"
+)
+def flush_points(s, d):
+    rows = table(s, d, "events").select("user_id", "event_id", "props")
+    return batch.flush_points(rows, "user_id", "event_id", F.octet_length("props"), 4096).select("user_id", "event_id", "flush")
+
+
+@query("SELECT user_id, string_agg(event_type, '' ORDER BY event_id) AS data FROM events GROUP BY 1")
+def sequential_bytes(s, d):
+    writes = table(s, d, "events").select("user_id", F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("data"))
+    return batch.sequential_bytes(writes, "user_id").select("user_id", F.col("data").cast("string").alias("data"))
+
+
+@query("SELECT min(page_id) * 32768 AS byte_offset, count(*) AS pages FROM (SELECT page_id, page_id - row_number() OVER (ORDER BY page_id) AS g FROM order_pages) GROUP BY g")
+def range_offsets(s, d):
+    pages = table(s, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("page_id"))
+    runs = batch.contiguous_ranges(pages, block=1024)
+    return runs.select(batch.range_offset(F.col("start"), 32768).alias("byte_offset"), "pages")
+
+
+@query("SELECT count(*) AS pages, CAST(sum(octet_length(encode(event_type))) AS BIGINT) AS bytes FROM (SELECT arg_max(event_type, event_id) AS event_type FROM events GROUP BY user_id)")
+def batch_total_size(s, d):
+    writes = table(s, d, "events").select(F.col("user_id").alias("page_id"), F.col("event_id").alias("seq"), F.col("event_type").cast("binary").alias("data"))
+    return batch.total_size(batch.coalesce_pages(writes))
+
+
+@query("SELECT o_orderkey, CAST((row_number() OVER (ORDER BY o_orderkey) - 1) // 1000 AS BIGINT) AS chunk FROM orders")
+def chunks(s, d):
+    return batch.chunk(table(s, d, "orders").select("o_orderkey"), "o_orderkey", 1000)
+
+
+@query("SELECT k, v FROM orders_kv")
+def export_import(s, d):
+    """Entries written as JSON in key order and read back."""
+    path = scratch(s, "export")
+    export_entries(orders_kv(s, d), path, "json")
+    back = json_entries(s, path, "key", "value")
+    return back.select(*[F.unhex(F.col(c).cast("string")).cast("string").alias(c[0]) for c in ("key", "value")])

@@ -1,8 +1,11 @@
-"""What Python workers need of a session."""
+"""What Python workers need of a session, and a folder for what a query writes."""
 
 from __future__ import annotations
 
+import atexit
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import SparkSession
@@ -15,3 +18,24 @@ def importable(spark: SparkSession) -> None:
     paths = spark.sparkContext.environment.get("PYTHONPATH", "")
     if root not in paths.split(os.pathsep):
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(filter(None, [root, paths]))
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A fresh folder under spark.checkpoint.dir, which a cluster must set; a local session without it
+    gets one on its own disk. Deleted when Python ends."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if root is None:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.gettempdir()}"
+    path = f"{root.rstrip('/')}/keyloom-{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    try:
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    except Exception:  # the JVM may be gone when the interpreter ends
+        pass

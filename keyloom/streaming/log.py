@@ -54,12 +54,14 @@ def recover(log: DataFrame, since: int = 0) -> DataFrame:
 
 def follow(spark, path: str, apply: Callable[[DataFrame, int], None], checkpoint: str, once: bool = True, files: int = 1000):
     """Streams new committed deltas (Parquet with txid, seq, op, ns, key, value) to apply(batch, id),
-    each batch collapsed to the last operation of a key. once: stops after what is there now."""
+    each batch collapsed to the last operation of a key, with its txid and seq: batches hold files in
+    any order, so what apply merges them into must keep the greatest. once: stops after what is there
+    now."""
     schema = "txid long, seq long, op string, ns binary, key binary, value binary"
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).option("recursiveFileLookup", "true").parquet(path)
 
     def each(batch: DataFrame, id: int) -> None:
-        apply(collapse(batch), id)
+        apply(collapse(batch, keep=("txid", "seq", "op", "value")), id)
 
     writer = stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime="10 seconds")).start()
