@@ -513,10 +513,13 @@ def induce(pages: DataFrame) -> DataFrame:
     )
     texts = held.select("host", "slots", "copy", F.explode(F.arrays_zip("texts", "mass")).alias("x")).select("host", "slots", "copy", "x.*")
     texts = texts.groupBy("host", "slots", "texts").agg(F.count_distinct("copy").alias("n"), F.sum("mass").alias("mass"))
-    texts = texts.join(seen.select("host", "slots", "copies"), ["host", "slots"])
-    same = (F.col("n") >= LEAST) & (F.col("n") >= SHARE * F.col("copies"))
+    # Texts of few copies are no template; they are summed up before they meet their slot's counts.
+    rare = texts.where(F.col("n") < LEAST).groupBy("host", "slots").agg(F.sum("mass").alias("rare"))
+    often = texts.where(F.col("n") >= LEAST).join(seen.select("host", "slots", "copies"), ["host", "slots"])
+    same = F.col("n") >= SHARE * F.col("copies")
     # The template texts of a slot are at most 1 / SHARE times as many as its texts on a page.
-    texts = texts.groupBy("host", "slots").agg(F.sum(F.when(~same, F.col("mass"))).alias("mass"), F.collect_list(F.when(same, F.col("texts"))).alias("constant"))
+    often = often.groupBy("host", "slots").agg(F.sum(F.when(~same, F.col("mass"))).alias("often"), F.collect_list(F.when(same, F.col("texts"))).alias("constant"))
+    texts = rare.join(often, ["host", "slots"], "full").withColumn("mass", F.coalesce("rare", F.lit(0)) + F.coalesce("often", F.lit(0)))
     stats = seen.join(texts, ["host", "slots"], "left").select("host", F.struct("slots", "on", "nodes", "mass", "constant").alias("x"))
     stats = stats.groupBy("host").agg(F.collect_list("x").alias("stats"))  # a row for each node of the wrapper
 
