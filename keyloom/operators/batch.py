@@ -10,6 +10,31 @@ from pyspark.sql import functions as F
 from keyloom.functions.layout import is_overflow, serialized_size
 
 
+#: Bits of a digit of ids: a window over distinct ids that agree in the digits above has at most 2 ** DIGIT rows.
+DIGIT = 16
+
+
+def ranked(rows: DataFrame, order: str, digit: int = DIGIT) -> DataFrame:
+    """Adds _rank, from 0, in the order of an integer column without repeats or nulls. Ids are ranked
+    digit by digit: counts of ids that agree in the upper digits are summed up among those that agree
+    in all but the last of them, so however ids lie no window has more than 2 ** digit rows (the
+    top one: the ids' span by 2 ** (3 * digit))."""
+    names = [f"_d{level}" for level in range(1, 4)]
+    rows = rows.withColumns({n: F.shiftright(F.col(order).cast("long"), digit * (i + 1)) for i, n in enumerate(names)})
+    counts, tables = rows.groupBy(*names).count(), []
+    for i, name in enumerate(names):
+        above = names[i + 1 : i + 2] or [F.lit(0)]
+        before = Window.partitionBy(*above).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
+        tables.append(counts.select(*names[i:], F.coalesce(F.sum("count").over(before), F.lit(0)).alias(f"_n{i}")))
+        counts = counts.groupBy(*names[i + 1 :]).agg(F.sum("count").alias("count"))
+    start = tables[0]
+    for i, table in enumerate(tables[1:], 1):
+        start = start.join(table, names[i:])
+    start = start.select(names[0], (F.col("_n0") + F.col("_n1") + F.col("_n2")).alias("_start"))
+    rank = F.col("_start") + F.row_number().over(Window.partitionBy(names[0]).orderBy(order)) - 1
+    return rows.join(start, names[0]).withColumn("_rank", rank).drop(*names, "_start")
+
+
 def coalesce_pages(writes: DataFrame, page: str = "page_id", seq: str = "seq", data: str = "data") -> DataFrame:
     """The last write of each page."""
     return writes.groupBy(page).agg(F.max_by(data, seq).alias(data))
@@ -27,18 +52,25 @@ def flush_points(writes: DataFrame, group: str, order: str, size: Column, most:
     return writes.withColumn("flush", F.floor(F.coalesce(F.sum(size).over(w), F.lit(0)) / most))
 
 
-def contiguous_ranges(pages: DataFrame, page: str = "page_id", block: int = 1 << 16) -> DataFrame:
+def contiguous_ranges(pages: DataFrame, page: str = "page_id", block: int = 1 << DIGIT) -> DataFrame:
     """start, pages, end of each run of consecutive ids. Runs are found within blocks of ids, in
-    parallel, and runs that touch at a block's edge are joined over the few runs at edges."""
-    ids = pages.select(F.col(page).cast("long").alias("p")).distinct().withColumn("b", F.floor(F.col("p") / block))
+    parallel; runs that touch a block's edge are joined within blocks of blocks, and what touches
+    their edges (at most two rows for block * block ids) in one last pass."""
+    of = lambda column, size: F.expr(f"({column} - pmod({column}, {size}L)) div {size}L")
+    ids = pages.select(F.col(page).cast("long").alias("p")).distinct().withColumn("b", of("p", block))
     w = Window.partitionBy("b").orderBy("p")
     runs = ids.withColumn("g", F.col("p") - F.row_number().over(w)).groupBy("b", "g").agg(F.min("p").alias("s"), F.max("p").alias("e"))
-    at_edge = (F.col("s") % block == 0) | (F.col("e") % block == block - 1)
-    inner = runs.where(~at_edge).select("s", "e")
-    edge = Window.partitionBy(F.lit(0)).orderBy("s")  # at most two rows a block
-    joined = runs.where(at_edge).withColumn("new", F.when(F.col("s") == F.lag("e").over(edge) + 1, 0).otherwise(1))
-    joined = joined.withColumn("n", F.sum("new").over(edge)).groupBy("n").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("s", "e")
-    return inner.unionByName(joined).select(F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("pages"), F.col("e").alias("end"))
+    done, runs = [], runs.select("s", "e")
+    for size, wider in ((block, block * block), (block * block, None)):
+        at_edge = F.expr(f"pmod(s, {size}L) = 0 or pmod(e, {size}L) = {size - 1}L")
+        done.append(runs.where(~at_edge))
+        group = of("s", wider) if wider else F.lit(0)
+        edge = Window.partitionBy("g").orderBy("s")
+        runs = runs.where(at_edge).withColumn("g", group).withColumn("new", F.when(F.col("s") == F.lag("e").over(edge) + 1, 0).otherwise(1))
+        runs = runs.withColumn("n", F.sum("new").over(edge)).groupBy("g", "n").agg(F.min("s").alias("s"), F.max("e").alias("e")).select("s", "e")
+    for part in done:
+        runs = runs.unionByName(part)
+    return runs.select(F.col("s").alias("start"), (F.col("e") - F.col("s") + 1).alias("pages"), F.col("e").alias("end"))
 
 
 def total_size(pages: DataFrame, data: str = "data") -> DataFrame:
@@ -46,9 +78,9 @@ def total_size(pages: DataFrame, data: str = "data") -> DataFrame:
     return pages.agg(F.count("*").alias("pages"), F.coalesce(F.sum(F.octet_length(data)), F.lit(0)).cast("long").alias("bytes"))
 
 
-def chunk(rows: DataFrame, order: str, size: int, block: int = 100_000) -> DataFrame:
+def chunk(rows: DataFrame, order: str, size: int) -> DataFrame:
     """Adds chunk: runs of `size` rows in the order of an integer column without repeats."""
-    return group_commits(rows, order, size, block).withColumnRenamed("batch", "chunk")
+    return group_commits(rows, order, size).withColumnRenamed("batch", "chunk")
 
 
 def range_offset(start: Column, page_size: int) -> Column:
@@ -56,21 +88,12 @@ def range_offset(start: Column, page_size: int) -> Column:
 
 
 def partition_runs(pages: DataFrame, parts: int, page: str = "page_id") -> DataFrame:
-    """Adds part: runs of ceil(n / parts) pages in id order; one part if there are under 2 * parts
-    pages. Ranks come from counts of id ranges, not from a sort in one task."""
+    """Adds part: runs of ceil(n / parts) pages in the order of their ids, which don't repeat; one part
+    if there are under 2 * parts pages."""
     n = pages.count()
     if parts <= 1 or n < 2 * parts:
         return pages.withColumn("part", F.lit(0).cast("long"))
-    span = pages.agg(F.min(page).alias("lo"), F.max(page).alias("hi")).head()
-    width = max(1, -(-(span["hi"] - span["lo"] + 1) // max(1, -(-n // 50_000))))
-    bucket = F.floor((F.col(page) - span["lo"]) / width)
-    rows = pages.withColumn("_b", bucket)
-    counts = rows.groupBy("_b").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_n"))
-    rank = F.col("_n") + F.row_number().over(Window.partitionBy("_b").orderBy(page)) - 1
-    size = math.ceil(n / parts)
-    return rows.join(counts, "_b").withColumn("part", F.floor(rank / size).cast("long")).drop("_b", "_n")
+    return ranked(pages, page).withColumn("part", F.floor(F.col("_rank") / math.ceil(n / parts)).cast("long")).drop("_rank")
 
 
 def partition_stats(parts: DataFrame, part: str = "part") -> DataFrame:
@@ -100,11 +123,6 @@ def entry_stats(kv: DataFrame, threshold: int = 16 * 1024) -> DataFrame:
     )
 
 
-def group_commits(commits: DataFrame, order: str = "lsn", most: int = 100, block: int = 100_000) -> DataFrame:
-    """Adds batch: groups of `most` commits in order. Ranks by blocks of the order column."""
-    rows = commits.withColumn("_b", F.floor(F.col(order) / block))
-    counts = rows.groupBy("_b").count()
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select("_b", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_n"))
-    rank = F.col("_n") + F.row_number().over(Window.partitionBy("_b").orderBy(order)) - 1
-    return rows.join(counts, "_b").withColumn("batch", F.floor(rank / most).cast("long")).drop("_b", "_n")
+def group_commits(commits: DataFrame, order: str = "lsn", most: int = 100) -> DataFrame:
+    """Adds batch: groups of `most` commits in the order of an integer column without repeats."""
+    return ranked(commits, order).withColumn("batch", F.floor(F.col("_rank") / most).cast("long")).drop("_rank")

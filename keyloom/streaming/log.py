@@ -18,14 +18,19 @@ LOG = "lsn long, rtype string, txid long, key binary, value binary"
 def attribute(log: DataFrame, block: int = 1 << 20) -> DataFrame:
     """Adds owner, the open transaction of each put and delete, and incarnation, the lsn of its begin;
     operations before any begin or after their transaction's end have none. The last boundary is
-    carried forward within blocks of lsn in parallel, and over the blocks' last boundaries."""
+    carried forward within blocks of lsn in parallel, over the last boundaries of the blocks of a
+    larger block, again in parallel, and over those of the larger blocks (block * block of lsn each)."""
     edge = F.when(F.col("rtype").isin("begin", "commit", "abort"), F.struct("rtype", "txid", "lsn"))
     rows = log.withColumn("_b", F.floor(F.col("lsn") / block)).withColumn("_edge", edge)
-    ends = rows.groupBy("_b").agg(F.max_by("_edge", F.when(F.col("_edge").isNotNull(), F.col("lsn"))).alias("_last"))
-    over = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)  # a row a block
-    ends = ends.select("_b", F.last("_last", True).over(over).alias("_before"))
+    latest = F.max_by("_edge", F.col("_edge.lsn")).alias("_edge")  # null where there is no boundary
+    blocks = rows.groupBy("_b").agg(latest).withColumn("_w", F.floor(F.col("_b") / block))
+    before = lambda group, order: F.last("_edge", True).over(
+        Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    )
+    wide = blocks.groupBy("_w").agg(latest).select("_w", before(F.lit(0), "_w").alias("_wide"))
+    blocks = blocks.withColumn("_near", before("_w", "_b")).join(wide, "_w").select("_b", F.coalesce("_near", "_wide").alias("_before"))
     here = Window.partitionBy("_b").orderBy("lsn").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("_here", F.last("_edge", True).over(here)).join(ends, "_b", "left")
+    rows = rows.withColumn("_here", F.last("_edge", True).over(here)).join(blocks, "_b", "left")
     open_ = F.coalesce("_here", "_before")
     mine = F.when(open_["rtype"] == "begin", open_)
     return rows.withColumns({"owner": mine["txid"], "incarnation": mine["lsn"]}).drop("_b", "_edge", "_here", "_before")

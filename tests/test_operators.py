@@ -170,3 +170,37 @@ def test_batches(spark):
     stats = batch.partition_stats(batch.partition_runs(pages, 7)).head()
     assert (stats["partitions"], stats["total"], stats["largest"]) == (7, 300, 43)
     assert batch.partition_stats(batch.partition_runs(pages.where("page_id < 0"), 7)).head()["imbalance"] == 1.0
+
+
+@pytest.mark.parametrize("scale", [1, 2**13, 2**40])
+def test_ranks_and_runs_of_ids_far_apart(spark, scale):
+    rng = random.Random(scale)
+    ids = sorted({base * scale + i for base in range(-3, 4) for i in rng.sample(range(70), 40)} | {-(2**62), 2**62 - 1, 2**62})
+    rows = spark.createDataFrame([(i,) for i in ids], "id long").repartition(5)
+    for digit in (2, 16):
+        assert [tuple(r) for r in batch.ranked(rows, "id", digit).orderBy("id").select("id", "_rank").collect()] == [(x, i) for i, x in enumerate(ids)]
+    want = []
+    for i in ids:
+        if want and want[-1][2] == i - 1:
+            want[-1] = (want[-1][0], want[-1][1] + 1, i)
+        else:
+            want.append((i, 1, i))
+    for block in (4, 1 << 16):
+        assert sorted(map(tuple, batch.contiguous_ranges(rows, "id", block).collect())) == want
+    sizes = batch.group_commits(rows, "id", 9).groupBy("batch").count().orderBy("batch").collect()
+    assert [r["count"] for r in sizes] == [9] * (len(ids) // 9) + [len(ids) % 9] * (len(ids) % 9 > 0)
+    assert not batch.ranked(rows.where("id is null"), "id").count() and not batch.contiguous_ranges(rows.where("id is null"), "id").count()
+
+
+@pytest.mark.parametrize("block", [2, 7, 1 << 20])
+def test_owners_whatever_the_blocks(spark, block):
+    rng, rows, want, owner = random.Random(5), [], {}, None
+    for at, lsn in enumerate(sorted(rng.sample(range(3000), 200))):
+        kind = rng.choices(["put", "delete", "begin", "commit", "abort"], [8, 2, 1, 1, 1])[0]
+        if kind in ("put", "delete"):
+            want[lsn] = owner
+        else:
+            owner = (at, lsn) if kind == "begin" else None
+        rows.append((lsn, kind, None if kind in ("put", "delete") else at, b"k", b"v"))
+    found = log.attribute(spark.createDataFrame(rows, log.LOG).repartition(3), block).where("rtype in ('put', 'delete')").collect()
+    assert {r["lsn"]: (r["owner"], r["incarnation"]) if r["owner"] is not None else None for r in found} == want
