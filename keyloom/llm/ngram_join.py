@@ -245,7 +245,11 @@ def _products(
     texts = docs.where("doc_id is not null").select(
         F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(MARKS)).alias("bit"), F.coalesce("text", F.lit("")).alias("text")
     )
-    rows = stash(texts.mapInArrow(sets, "digest binary, side int, size long, row binary"), "rows")
+    # One row for each set: the map lets copies through by chance, and those of both sides of a pair would multiply it.
+    found = texts.mapInArrow(sets, "digest binary, side int, size long, row binary").groupBy("digest").agg(
+        F.bit_or("side").alias("side"), F.first(F.struct("size", "row")).alias("one")
+    )
+    rows = stash(found.select("digest", "side", "one.size", "one.row"), "rows")
 
     def product(batches):
         for batch in batches:

@@ -72,6 +72,30 @@ def test_ngram_join_is_exact(spark, k, num, den):
     assert ngram_join.near_copies(extra, k, num, den).count() == len(odd)
 
 
+def test_a_pair_is_formed_once_however_many_copies(spark, monkeypatch):
+    """The map that skips unasked texts lets copies through by chance: here, with four marks, nearly all."""
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words), " ".join([*words[:-1], "end"]), " ".join([*words, "more"])]
+    rows = [(i % 50, texts[i % 3]) if i < 150 else (i, f"t{i % 40} alone here {i % 40}") for i in range(300)]  # some ids are repeated
+    monkeypatch.setattr(ngram_join, "MARKS", 4)
+    monkeypatch.setattr(ngram_join, "MARK_PIECE", 4)
+    written = {}
+
+    def stash(df, name="t", plain=ngram_join.stash):
+        out = plain(df, name)
+        if name in ("products", "known"):
+            written.setdefault(name, []).append(out.select(*out.columns[:2]).collect())
+        return out
+
+    monkeypatch.setattr(ngram_join, "stash", stash)
+    got = ngram_join.near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), 3, 90, 100).drop("key").collect()
+    assert any(written["products"])
+    for tables in written.values():
+        for found in tables:
+            assert len(set(found)) == len(found)
+    assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90, 100)
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 65, 700):
