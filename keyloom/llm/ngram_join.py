@@ -39,7 +39,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from keyloom.llm.shared import CHUNK, Words, components, free_name, shingles, stash, sweep, text_chunks, unstash
+from keyloom.llm.shared import (
+    CHUNK, Words, components, free_name, give_back, shingles, short_batches, stash, sweep, text_chunks, unstash,
+)
 
 #: Columns (n-grams) are counted in 2 ** BITS cells; the counts only order the columns.
 BITS, CELLS_A_ROW = 20, 1 << 14
@@ -47,6 +49,8 @@ BITS, CELLS_A_ROW = 20, 1 << 14
 COLUMN_BLOCKS = 8
 #: Pairs compared at once in a task.
 PAIRS = 256
+#: Rows of a batch that a worker gets, and bytes of text whose n-grams it makes at once.
+BATCH, PIECE = 1000, CHUNK // 4
 #: Bits of the marks of documents whose rows are asked for.
 MARKS, MARK_PIECE = 1 << 22, 1 << 14
 #: Keys that a component's rows are dealt over when its smallest id is looked up.
@@ -59,7 +63,7 @@ def _sets(batch: pa.RecordBatch, k: int, keep=None):
     at = np.arange(len(texts)) if keep is None else np.flatnonzero(keep)
     if keep is not None:
         texts = texts.filter(pa.array(keep))
-    for first, last, data, offsets in text_chunks(texts):
+    for first, last, data, offsets in text_chunks(texts, PIECE):
         hashes, bounds = shingles(Words(data, offsets), k)
         for i in range(last - first):
             yield int(at[first + i]), np.unique(hashes[bounds[i] : bounds[i + 1]])
@@ -85,6 +89,7 @@ def column_counts(docs: DataFrame, k: int) -> np.ndarray:
             ],
             ["block", "salt", "cells"],
         )
+        give_back()
 
     def add(last):
         def run(key, table):
@@ -130,6 +135,7 @@ def _rows(docs: DataFrame, k: int, num: int, den: int, counts: np.ndarray) -> Da
                     yield table(ids, at, n, node, prefix)
                     at, n, node, prefix, waiting = [], [], [], [], 0
             yield table(ids, at, n, node, prefix)
+        give_back()
 
     def table(ids, at, n, node, prefix):
         return pa.RecordBatch.from_arrays(
@@ -236,6 +242,7 @@ def _products(
                     yield table(found)
                     found, waiting = [], 0
             yield table(found)
+        give_back()
 
     def table(found):
         node, side, size, row = zip(*found) if found else ((), (), (), ())
@@ -280,6 +287,7 @@ def _products(
                     rest.append(own[np.argsort(cells, kind="stable")[: len(x) - -(-num * len(x) // den) + 1]].view(np.int64))
                 columns = [pa.array(n_l), pa.array(got), pa.array(got >= need), pa.array(rest, pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*part.select(["a", "b"]).columns, *columns], ["a", "b", "n", "overlap", "links", "rest"])
+        give_back()
 
     def runs(sizes):
         """(first, length) of runs of at most PAIRS pairs and about CHUNK bytes of text, one pair at least."""
@@ -312,6 +320,11 @@ def near_copies(docs: DataFrame, k: int = 5, num: int = 80, den: int = 100) -> D
     text): documents link if
     den * overlap >= num * union of their sets of k-word n-grams; component_id is the smallest
     doc_id that links reach."""
+    with short_batches(docs.sparkSession, BATCH):  # all Python runs in here: what is returned reads written tables
+        return _near_copies(docs, k, num, den)
+
+
+def _near_copies(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     counts = column_counts(docs, k)
     rows = stash(_rows(docs, k, num, den, counts), "docs")
     nodes = rows.where("node is not null and doc_id is not null").groupBy("node").agg(

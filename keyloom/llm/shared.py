@@ -4,6 +4,8 @@ vectorised tokenising of Arrow text columns, two-level prefix sums and connected
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
 import gc
 import uuid
 
@@ -64,6 +66,26 @@ def sweep(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession, rows: int):
+    """While it is open, the session's Arrow batches have at most so many rows: a batch is in memory on
+    both sides of a worker's pipe, and Spark's 10 000 rows of long texts are many megabytes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, min(int(before), rows) if int(before) > 0 else rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def give_back() -> None:
+    """Returns the memory that this worker has freed to the system, which an idle worker else keeps."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries than glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def free_name(df: DataFrame, stem: str) -> str:
     """A column name that df doesn't have yet."""
     taken = {c.lower() for c in df.columns}

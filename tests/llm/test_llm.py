@@ -96,6 +96,15 @@ def test_a_pair_is_formed_once_however_many_copies(spark, monkeypatch):
     assert sorted(map(tuple, got), key=str) == brute_components(rows, 3, 90, 100)
 
 
+def test_the_join_gets_short_batches_and_leaves_the_setting(spark, monkeypatch):
+    key, seen, plain = "spark.sql.execution.arrow.maxRecordsPerBatch", [], ngram_join.stash
+    before = spark.conf.get(key)
+    monkeypatch.setattr(ngram_join, "stash", lambda df, name="t": seen.append(int(spark.conf.get(key))) or plain(df, name))
+    assert ngram_join.near_copies(empty(spark)).count() == 0
+    assert seen and max(seen) <= 1000
+    assert spark.conf.get(key) == before
+
+
 def test_parities_bound_the_difference():
     rng = np.random.default_rng(1)
     for n in (0, 1, 63, 64, 65, 700):
